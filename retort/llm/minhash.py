@@ -9,8 +9,10 @@
 
 A pair at similarity 0.8 misses all bands with probability (1 - 0.8**4)**32 < 5e-8 and falls under the
 screen (five standard deviations below) about as rarely. Candidates are first taken as stars (each node with
-the least node it meets), which is linear in a bucket's size; a bucket's other pairs are looked at only
-between nodes that the stars left in different components.
+the least node it meets), which is linear in a bucket's size. A bucket's other pairs matter only between nodes
+that the stars left in different components. Where such a bucket is small, its pairs that pass the screen are
+confirmed by a join. A larger one is dealt into blocks of bounded size, and each task confirms the pairs of two blocks
+on their sets and returns only links that unite components, so no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 #: Ids of so many documents at most (16 MB) are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Buckets of more nodes are worked on in blocks of about so many nodes or bytes of sets.
+SMALL_BUCKET, BLOCK_NODES, BLOCK_BYTES = 64, 768, 8_000_000
 
 _odd = seeds(HASHES, 101) | np.uint64(1)
 _add = seeds(HASHES, 202)
@@ -147,27 +151,85 @@ def screen(threshold: float) -> float:
     return threshold - 5 * (threshold * (1 - threshold) / HASHES) ** 0.5
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (src, dst) whose full sets reach the threshold. Only texts of nodes in a pair are read into sets."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst"))).distinct()
-    wanted = cut_lineage(nodes.join(ends, "node").select("node", "rep"))
-    few = wanted.count() <= BROADCAST_IDS
+def _linker(percent: int):
+    """Links between the nodes of two blocks of a bucket (or within one) that unite components, best estimates first."""
+    floor = screen(percent / 100)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        band = rows.column("band")[0].as_py()
+        side = rows.column("side").to_numpy()
+        names = rows.column("node").to_pylist()
+        _, group = np.unique(np.array(rows.column("component").to_pylist(), "S16"), return_inverse=True)
+        size = rows.column("n_shingles").to_numpy()
+        planes = np.stack([rows.column(p).to_numpy() for p in PLANES], axis=1).view(np.uint64)
+        keys = np.array(rows.column("bands").to_pylist(), np.int64)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
+        first = np.flatnonzero(side == 0)
+        second = np.flatnonzero(side == 1) if side.any() else first
+        same = np.zeros((len(first), len(second)), np.int16)
+        words = HASHES // 64
+        for w in range(words):
+            agree = np.full((len(first), len(second)), np.uint64(0xFFFFFFFFFFFFFFFF))
+            for b in range(BITS):
+                agree &= ~(planes[first, b * words + w][:, None] ^ planes[second, b * words + w][None, :])
+            same += np.bitwise_count(agree)
+        chance = 2.0**-BITS
+        wanted = (same / HASHES - chance) / (1 - chance) >= floor
+        wanted &= group[first][:, None] != group[second][None, :]
+        wanted &= 100 * np.minimum(size[first][:, None], size[second][None, :]) >= percent * np.maximum(size[first][:, None], size[second][None, :])
+        for b in range(band):  # a pair belongs to the first bucket that it shares
+            wanted &= keys[first, b][:, None] != keys[second, b][None, :]
+        if not side.any():
+            wanted &= np.arange(len(first))[:, None] < np.arange(len(second))[None, :]
+        x, y = np.nonzero(wanted)
+        order = np.argsort(-same[x, y], kind="stable")
+        lead = list(range(int(group.max(initial=0)) + 1))
+
+        def find(g: int) -> int:
+            while lead[g] != g:
+                lead[g] = lead[lead[g]]
+                g = lead[g]
+            return g
+
+        source, target = [], []
+        for i, j in zip(first[x[order]].tolist(), second[y[order]].tolist(), strict=True):
+            u, v = find(group[i]), find(group[j])
+            if u == v:
+                continue
+            a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                lead[u] = v
+                source.append(names[i]), target.append(names[j])
+        return pa.table({"src": pa.array(source, pa.binary()), "dst": pa.array(target, pa.binary())})
+
+    return run
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, members) of the wanted nodes; only their texts are made into sets."""
+    wanted = cut_lineage(nodes.join(wanted, "node", "left_semi").select("node", "rep"))
     ids = wanted.select(F.col("rep").alias("doc_id"))
+    few = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids.distinct()) if few else ids, "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(_sets(width), "node binary, members binary")
-    sets = cut_lineage(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")))
+    return cut_lineage(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")))
+
+
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (src, dst) whose full sets reach the threshold."""
+    ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst"))).distinct()
+    sets = _sets_of(docs, nodes, ends, width)
     both = (
         pairs.join(sets.select(F.col("node").alias("src"), F.col("members").alias("left")), "src")
         .join(sets.select(F.col("node").alias("dst"), F.col("members").alias("right")), "dst")
         .select("src", "dst", "left", "right")
     )
-    sized = both.withColumn("total", (F.octet_length("left") + F.octet_length("right")) / 8)
     # a pair whose sizes alone rule the threshold out need not be intersected
-    fit = sized.where(100 * F.least(F.octet_length("left"), F.octet_length("right")) >= percent * F.greatest(F.octet_length("left"), F.octet_length("right")))
+    fit = both.where(100 * F.least(F.octet_length("left"), F.octet_length("right")) >= percent * F.greatest(F.octet_length("left"), F.octet_length("right")))
     counted = fit.select("src", "dst", "left", "right").mapInArrow(_overlap, "src binary, dst binary, shared long")
     sizes = nodes.select("node", "n_shingles")
-    del spark
     return cut_lineage(
         counted.join(sizes.select(F.col("node").alias("src"), F.col("n_shingles").alias("n_src")), "src")
         .join(sizes.select(F.col("node").alias("dst"), F.col("n_shingles").alias("n_dst")), "dst")
@@ -176,6 +238,25 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int,
     )
 
 
+def _block_links(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (src, dst) between the components that meet in the crowded buckets."""
+    sets = _sets_of(docs, nodes, crowded.select("node").distinct(), width).join(nodes.select("node", "bands"), "node")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(8 * F.col("shingles") / BLOCK_BYTES))
+    dealt = (
+        crowded.withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("i", F.least("own", "other"))
+        .withColumn("j", F.greatest("own", "other"))
+        .withColumn("side", ((F.col("own") == F.col("j")) & (F.col("i") < F.col("j"))).cast("int"))
+        .drop("members")
+        .join(sets, "node")
+    )
+    columns = ["band", "side", "node", "component", "n_shingles", *PLANES, "bands", "members"]
+    found = dealt.select("key", "i", "j", *columns).groupBy("key", "i", "j").applyInArrow(_linker(percent), "src binary, dst binary")
+    return cut_lineage(found)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, any other columns).
 
@@ -188,11 +269,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = cut_lineage(docs.mapInArrow(_sketch(width), SKETCH))
     nodes = cut_lineage(
-        sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), *[F.first(p).alias(p) for p in PLANES])
+        sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in PLANES])
     )
-    banded = sketches.where("node is not null").select("node", F.explode("bands").alias("key"))
+    banded = sketches.where("node is not null").select("node", F.posexplode("bands").alias("band", "key"))
     meetings = cut_lineage(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail"))
-    shared = cut_lineage(banded.join(meetings, "key").groupBy("key", "node", "head").agg(F.lit(1).alias("one")).drop("one"))
+    shared = cut_lineage(banded.join(meetings, "key").groupBy("key", "band", "node", "head").agg(F.lit(1).alias("one")).drop("one"))
 
     pairs = shared.where("node > head").select(F.col("node").alias("dst"), F.col("head").alias("src")).distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
@@ -208,17 +289,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first_groups = connected_components(first_links)
 
     grouped = nodes.join(first_groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = shared.select("key", "node").join(grouped.select("node", "component", *PLANES), "node")
-    split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    inside = shared.select("key", "band", "node").join(grouped.select("node", "component", "n_shingles", *PLANES), "node")
+    split = (
+        inside.groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+        .where("low < high")
+        .select("key", "members", "shingles")
+    )
     open_rows = cut_lineage(inside.join(split, "key"))
-    left, right = open_rows.alias("l"), open_rows.alias("r")
+    left, right = (open_rows.where(F.col("members") <= SMALL_BUCKET).alias(x) for x in "lr")
     rest = (
         left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & (estimated_similarity("l", "r") >= screen(percent / 100)))
         .select(F.col("l.node").alias("src"), F.col("r.node").alias("dst"))
         .distinct()
     )
     more_links = _confirmed(docs, nodes, cut_lineage(rest), width, percent)
-    groups = connected_components(first_links.union(more_links))
+    block_links = _block_links(docs, nodes, open_rows.where(F.col("members") > SMALL_BUCKET), width, percent)
+    groups = connected_components(first_links.union(more_links).union(block_links))
 
     labelled = nodes.select("node", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))

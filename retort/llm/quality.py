@@ -24,7 +24,7 @@ WINDOW = 8
 #: Fewer words than this: no verdict from histograms.
 MIN_WORDS = 40
 #: Largest distance of the character classes, and of the common words, from the language's reference.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.60
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
 
 _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 
@@ -145,7 +145,6 @@ def quality(docs: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     where there is no reference or nothing to count, which rejects nothing. Rows that repeat are judged alike.
     """
     references = language_references(docs)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = features(docs).withColumn("f_repeat", repeated_words(F.col("f_words")))
     rows = rows.withColumn("f_common_all", _with_rest(F.col("f_common"), F.col("f_n_words")))
 
@@ -159,7 +158,6 @@ def quality(docs: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
             out = F.when(F.col("lang") == lang, d) if out is None else out.when(F.col("lang") == lang, d)
         return F.round(out.otherwise(least), 6)
 
-    del text
     judged = rows.withColumn("class_distance", nearest("f_classes", 0)).withColumn("word_distance", nearest("f_common_all", 1))
     failed = (F.col("f_n_words") < 20) | (100 * F.col("f_repeat") > 30 * F.col("f_n_words"))
     odd = (F.col("f_n_words") >= MIN_WORDS) & (
