@@ -137,13 +137,16 @@ def jensen_shannon(counts: Column, reference: list[float]) -> Column:
     return _let(total, lambda t: F.when(t > 0, distance(t)))
 
 
-def quality(docs: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance) of every row.
 
     ``docs`` has doc_id, text and lang; null text counts as empty, so it has no words and fails the base rules.
     A null or other lang is held against the nearest of all references. Distances are rounded to six places and null
     where there is no reference or nothing to count, which rejects nothing. Rows that repeat are judged alike.
+    ``carry`` names columns to return as well, packed into one struct ``row``, so their names may be any.
     """
+    packed = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
+    docs = docs.select("doc_id", "text", "lang", *packed)
     references = language_references(docs)
     rows = features(docs).withColumn("f_repeat", repeated_words(F.col("f_words")))
     rows = rows.withColumn("f_common_all", _with_rest(F.col("f_common"), F.col("f_n_words")))
@@ -174,5 +177,5 @@ def quality(docs: DataFrame, keep_columns: tuple[str, ...] = ()) -> DataFrame:
         (~failed & ~odd).alias("kept"),
         "class_distance",
         "word_distance",
-        *keep_columns,
+        *(["row"] if carry else []),
     )

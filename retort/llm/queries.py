@@ -2,18 +2,78 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from retort.llm.chat import conversation_digests
+from retort.llm.language import language_predictions
+from retort.llm.lines import line_report
+from retort.llm.media import media_digests
 from retort.llm.minhash import near_duplicates
+from retort.llm.packing import pack_documents
+from retort.llm.quality import quality
+from retort.llm.spencode import encoding_digests
+from retort.llm.tokencount import token_counts
 from retort.sources.tables import table
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), PIECES, limit=4096)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(turns.unionByName(probe))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), *BYTES, capacity=1024)
+
+
+def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op1_minhash_dedup": op1_minhash_dedup,
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup,
+        op2_distribution_quality,
+        op3_language_id,
+        op4_token_counts,
+        op6_sentencepiece,
+        op7_chat_format,
+        op8_line_dedup,
+        op9_best_fit_packing,
+        op10_flac_media,
+    )
 }
 
 ORACLES: dict[str, str] = {}

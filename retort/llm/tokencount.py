@@ -81,9 +81,8 @@ def _measure(path: str, budget: int, keep: bool):
                     own = counts[bounds[i] + 1 : bounds[i + 1]]
                     good = np.flatnonzero(own <= budget) if tokens[i] > budget else ()
                     fits.append(int(good[-1]) + 1 if len(good) else (len(own) if tokens[i] <= budget else 0))
-                size = np.diff(part.offsets) - (np.diff(part.offsets) > 0)
                 rows_at = slice(*part.rows)
-                columns = [batch.column("doc_id")[rows_at].cast(pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fits, pa.int64())]
+                columns = [batch.column("doc_id")[rows_at].cast(pa.int64()), batch.column("n_bytes")[rows_at], pa.array(tokens, pa.int64()), pa.array(fits, pa.int64())]
                 names = ["doc_id", "n_bytes", "n_tokens", "fit_chars"]
                 if keep:
                     stored = [counts[bounds[i] + 1 : bounds[i + 1]].astype("<i4").tobytes() for i in rows]
@@ -94,13 +93,17 @@ def _measure(path: str, budget: int, keep: bool):
     return run
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+
+
 def prefix_counts(docs: DataFrame, model_path: str, budget: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, fit_chars, prefix_tokens): prefix_tokens has the count of the first k code points as the k-th little-endian int32.
 
     A null text counts as empty: no tokens and an empty table. Repeated ids and other columns don't matter.
-    n_bytes counts a space sign (U+2581) in a text as the space that the model takes it for.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = _sized(docs)
     return docs.mapInArrow(_measure(model_path, budget, True), "doc_id long, n_bytes long, n_tokens long, fit_chars long, prefix_tokens binary")
 
 
@@ -110,7 +113,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     fit_chars is the longest prefix, in code points, of at most ``limit`` tokens. Read off the prefix tables, which
     aren't kept here.
     """
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = _sized(docs)
     counted = docs.mapInArrow(_measure(model_path, limit, False), "doc_id long, n_bytes long, n_tokens long, fit_chars long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
