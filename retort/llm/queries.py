@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from retort.llm.chat import conversation_digests
 from retort.llm.language import language_predictions
+from retort.llm.licenses import scan_licenses
 from retort.llm.lines import line_report
 from retort.llm.media import media_digests
 from retort.llm.minhash import near_duplicates
@@ -37,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES, limit=4096)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), PIECES)
 
@@ -68,6 +73,7 @@ QUERIES = {
         op2_distribution_quality,
         op3_language_id,
         op4_token_counts,
+        op5_license_scan,
         op6_sentencepiece,
         op7_chat_format,
         op8_line_dedup,
