@@ -1,6 +1,8 @@
-"""Named queries and the SQL that must give the same rows."""
+"""All named queries and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from retort.plans import learning, relations, scalars
+
+QUERIES = scalars.plans.queries | relations.plans.queries | learning.plans.queries
+ORACLES = scalars.plans.oracles | relations.plans.oracles | learning.plans.oracles
