@@ -22,7 +22,7 @@ def suffix_repeated_keys(frame: DataFrame, key: Column, content: Column, order:
     keyed = frame.withColumn("_key", key).withColumn("_hash", F.substring(F.sha2(content, 256), 1, 8))
     within, same = Window.partitionBy("_key").orderBy(*order), Window.partitionBy("_key", "_hash").orderBy(*order)
     numbered = keyed.withColumn("_n", F.row_number().over(within)).withColumn("_m", F.row_number().over(same))
-    suffix = F.concat(F.col("_key"), F.lit("::dup::"), F.col("_hash"))
+    suffix = F.concat(F.col("_key"), F.lit("::v"), F.col("_hash"))
     made = F.when(F.col("_n") == 1, F.col("_key")).when(F.col("_m") == 1, suffix).otherwise(F.concat(suffix, F.lit("::"), F.col("_m").cast("string")))
     return numbered.withColumn(name, made).drop("_key", "_hash", "_n", "_m")
 

@@ -20,7 +20,7 @@ LINE_SQL = ", ".join(LINE_ORDER)
 
 @query(f"""
 SELECT step_id, count(*) AS rows FROM (
- SELECT CASE WHEN n = 1 THEN k WHEN m = 1 THEN k || '::dup::' || h ELSE k || '::dup::' || h || '::' || CAST(m AS VARCHAR) END AS step_id FROM (
+ SELECT CASE WHEN n = 1 THEN k WHEN m = 1 THEN k || '::v' || h ELSE k || '::v' || h || '::' || CAST(m AS VARCHAR) END AS step_id FROM (
   SELECT k, h, row_number() OVER (PARTITION BY k ORDER BY {LINE_SQL}) AS n, row_number() OVER (PARTITION BY k, h ORDER BY {LINE_SQL}) AS m FROM (
    SELECT *, CAST(l_orderkey AS VARCHAR) || '::' || lpad(CAST(l_linenumber AS VARCHAR), 3, '0') AS k, substr(sha256(CAST(l_partkey AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR)), 1, 8) AS h FROM lineitem))) GROUP BY 1
 """)
