@@ -78,25 +78,34 @@ def _count_class(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Adds the words, base counts, class histogram and common-word histogram of ``text`` as f_ columns."""
+def _once(frame: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is worked out once, however often it is used.
+
+    The optimizer copies a projected expression into each of its uses; it doesn't see through a generator.
+    """
+    return frame.select("*", F.explode(F.array(value)).alias(name))
+
+
+def features(docs: DataFrame, repeats: bool = True) -> DataFrame:
+    """Adds the struct ``f``: base counts, character-class histogram and common-word histogram of ``text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.withColumn("f_words", words_of(F.col("text").cast("string"))).withColumn("f_n_words", F.size("f_words").cast("long"))
+    split = _once(docs, words_of(F.col("text").cast("string")), "f_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     hits = F.filter("f_words", lambda w: w.isin(_WORDS))
-    joined = F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" "))
-    base = (
-        base.withColumn("f_word_chars", F.length(F.array_join("f_words", "")).cast("long"))
-        .withColumn("f_dup_lines", _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("f_hits", joined)
-    )
-    for name, chars in CLASSES.items():
-        base = base.withColumn(f"f_{name}", _count_class(text, chars))
-    length = F.length(F.col("f_hits"))
-    counted = F.array(*[((length - F.length(F.replace("f_hits", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("double") for w in _WORDS])
-    classes = [F.col(f"f_{c}").cast("double") for c in CLASSES]
-    other = F.greatest(F.col("f_word_chars").cast("double") - sum(classes[1:], classes[0]), F.lit(0.0))
-    return base.withColumn("f_classes", F.array(*classes, other)).withColumn("f_common", counted).drop("f_hits")
+    fields = {
+        "n_words": F.size("f_words").cast("long"),
+        "word_chars": F.length(F.array_join("f_words", "")).cast("long"),
+        "hits": F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")),
+    } | {name: _count_class(text, chars) for name, chars in CLASSES.items()}
+    if repeats:
+        fields |= {"dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"), "repeat": repeated_words(F.col("f_words"))}
+    base = _once(split, F.struct(*[c.alias(n) for n, c in fields.items()]), "f_base").drop("f_words")
+    length = F.length(F.col("f_base.hits"))
+    counted = F.array(*[((length - F.length(F.replace("f_base.hits", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("double") for w in _WORDS])
+    classes = [F.col(f"f_base.{c}").cast("double") for c in CLASSES]
+    other = F.greatest(F.col("f_base.word_chars").cast("double") - sum(classes[1:], classes[0]), F.lit(0.0))
+    kept = [F.col(f"f_base.{n}").alias(n) for n in fields if n != "hits"]
+    return _once(base, F.struct(*kept, F.array(*classes, other).alias("classes"), counted.alias("common")), "f").drop("f_base")
 
 
 def _with_rest(common: Column, total: Column) -> Column:
@@ -109,11 +118,11 @@ def language_references(docs: DataFrame) -> dict[str, tuple[list[float], list[fl
 
     One aggregation with a partial sum in each task; at most one row a language reaches the driver.
     """
-    counted = features(docs.where(F.col("lang").isin(list(COMMON_WORDS)))).select("lang", "f_n_words", "f_classes", "f_common")
+    counted = features(docs.where(F.col("lang").isin(list(COMMON_WORDS))).select("text", "lang"), repeats=False).select("lang", "f")
     n_classes, n_common = len(CLASSES) + 1, len(_WORDS)
-    sums = [F.sum(F.col("f_classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("f_common")[i]).alias(f"w{i}") for i in range(n_common)]
+    sums = [F.sum(F.col("f.classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("f.common")[i]).alias(f"w{i}") for i in range(n_common)]
     found = {}
-    for row in counted.groupBy("lang").agg(F.sum("f_n_words").alias("n"), *sums).collect():
+    for row in counted.groupBy("lang").agg(F.sum("f.n_words").alias("n"), *sums).collect():
         classes = [row[f"c{i}"] for i in range(n_classes)]
         common = [row[f"w{i}"] for i in range(n_common)]
         common.append(max(0.0, row["n"] - sum(common)))
@@ -148,8 +157,7 @@ def quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     packed = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
     docs = docs.select("doc_id", "text", "lang", *packed)
     references = language_references(docs)
-    rows = features(docs).withColumn("f_repeat", repeated_words(F.col("f_words")))
-    rows = rows.withColumn("f_common_all", _with_rest(F.col("f_common"), F.col("f_n_words")))
+    rows = features(docs).withColumn("f_all", _with_rest(F.col("f.common"), F.col("f.n_words")))
 
     def nearest(counts: str, which: int) -> Column:
         by_lang = {lang: jensen_shannon(F.col(counts), r[which]) for lang, r in references.items()}
@@ -161,21 +169,22 @@ def quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             out = F.when(F.col("lang") == lang, d) if out is None else out.when(F.col("lang") == lang, d)
         return F.round(out.otherwise(least), 6)
 
-    judged = rows.withColumn("class_distance", nearest("f_classes", 0)).withColumn("word_distance", nearest("f_common_all", 1))
-    failed = (F.col("f_n_words") < 20) | (100 * F.col("f_repeat") > 30 * F.col("f_n_words"))
-    odd = (F.col("f_n_words") >= MIN_WORDS) & (
-        (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    distances = F.struct(nearest("f.classes", 0).alias("c"), nearest("f_all", 1).alias("w"))
+    judged = _once(rows, distances, "f_far")
+    failed = (F.col("f.n_words") < 20) | (100 * F.col("f.repeat") > 30 * F.col("f.n_words"))
+    odd = (F.col("f.n_words") >= MIN_WORDS) & (
+        (F.coalesce("f_far.c", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("f_far.w", F.lit(0.0)) > MAX_WORD_DISTANCE)
     )
     return judged.select(
         "doc_id",
-        F.col("f_n_words").alias("n_words"),
-        F.col("f_word_chars").alias("word_chars"),
-        F.col("f_symbol").alias("n_symbols"),
-        F.col("f_dup_lines").alias("n_dup_lines"),
-        F.col("f_repeat").alias("n_repeat_words"),
+        F.col("f.n_words").alias("n_words"),
+        F.col("f.word_chars").alias("word_chars"),
+        F.col("f.symbol").alias("n_symbols"),
+        F.col("f.dup_lines").alias("n_dup_lines"),
+        F.col("f.repeat").alias("n_repeat_words"),
         failed.alias("base_failed"),
         (~failed & ~odd).alias("kept"),
-        "class_distance",
-        "word_distance",
+        F.col("f_far.c").alias("class_distance"),
+        F.col("f_far.w").alias("word_distance"),
         *(["row"] if carry else []),
     )
