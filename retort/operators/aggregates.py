@@ -51,9 +51,9 @@ def robust_stats(frame: DataFrame, group: str, value: str, floor: float = 1e-6)
 
 
 def anomaly_score(value: Column, median: Column, mad: Column, q01: Column, q99: Column) -> Column:
-    """min(1, robust z / 8 + .25 outside the quantiles) (ML15)."""
+    """min(1, robust z / 8 + .25 outside the quantiles) (ML15); null for a null value."""
     z = F.abs(value - median) / (F.lit(1.4826) * mad)
-    return F.least(F.lit(1.0), z / 8 + F.when((value < q01) | (value > q99), 0.25).otherwise(0.0))
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), z / 8 + F.when((value < q01) | (value > q99), 0.25).otherwise(0.0)))
 
 
 def label_support(frame: DataFrame, label: str, split: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:

@@ -12,8 +12,15 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parent.parent
 
 
+#: Rows of an Arrow batch where the session has Spark's default; texts can be long, and a batch is held whole.
+ARROW_ROWS, SPARK_ARROW_ROWS = "2000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
     """Adds a zip of the package to the session once; executors fetch it from the driver."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, SPARK_ARROW_ROWS) == SPARK_ARROW_ROWS:
+        spark.conf.set(setting, ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_retort_shipped", False):
         return
