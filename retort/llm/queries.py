@@ -12,6 +12,7 @@ from retort.llm.licenses import scan_licenses
 from retort.llm.lines import line_report
 from retort.llm.media import media_digests
 from retort.llm.minhash import near_duplicates
+from retort.llm.oracles import ORACLES
 from retort.llm.packing import pack_documents
 from retort.llm.quality import quality
 from retort.llm.spencode import encoding_digests
@@ -66,6 +67,8 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,5 +84,3 @@ QUERIES = {
         op10_flac_media,
     )
 }
-
-ORACLES: dict[str, str] = {}
