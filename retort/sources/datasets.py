@@ -163,6 +163,12 @@ class Artifact:
         return align(coalesce_duplicate_headers(frame), schema)
 
 
+def portable_path(path: str, root: str) -> str:
+    """A path below a root with forward slashes, else its last part (PR12)."""
+    path, root = path.replace("\\", "/"), root.replace("\\", "/").rstrip("/") + "/"
+    return path[len(root) :] if path.startswith(root) else PurePosixPath(path).name
+
+
 def unique_headers(names: list[str]) -> list[str]:
     seen: dict[str, int] = {}
     out = []

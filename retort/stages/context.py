@@ -1,22 +1,25 @@
 """The contextual stage: each route's steps in order, with intermediates resolved from observed structures.
 
-The fold over a route is the only part in Python (one grouped map over a route's few steps); evidence, molecules, scores and
+The fold over a route is the only part in Python (one pass over its few steps); evidence, molecules, scores and
 the other tables are column expressions over its result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from retort.chem import reaction
 from retort.chem.columns import describe_molecules
 from retort.functions import conditions, parsing, scores, taxonomy
 from retort.operators import reshape
-from retort.schemas import EDGE, REPAIR, RESOLUTION
+from retort.schemas import EDGE, REPAIR, RESOLUTION, struct
 
 #: How an edge's evidence is named and worth: status, confidence, evidence type, structural, label, structure, metadata.
 EDGES = {
@@ -110,12 +113,6 @@ class RouteFold:
         return list(dict.fromkeys(out))
 
 
-def _fold_route(steps: pd.DataFrame) -> pd.DataFrame:
-    fold = RouteFold({})
-    ordered = steps.sort_values(["step_index", "step_id"])
-    return pd.DataFrame([fold.step(row) for row in ordered.to_dict("records")], columns=["route_id", "step_id", "original_reaction_smiles", "resolved_reaction_smiles", "canonical_resolved_reaction_smiles", "resolution_status", "resolution_confidence", "candidate_ok", "resolutions", "edge"])
-
-
 def _nested(text: str) -> str:
     return ",".join(":".join(f.split(" ", 1)) for f in text.split(", "))
 
@@ -127,9 +124,23 @@ FOLDED_SCHEMA = (
 
 
 def resolve_routes(steps: DataFrame) -> DataFrame:
-    """One row a step with its resolution, records and the edge from the step before it (WN3, J12)."""
-    columns = ["route_id", "step_id", "step_index", "canonical_reaction_smiles", "reaction_smiles", "input_intermediate", "output_intermediate"]
-    return steps.select(*columns).groupBy("route_id").applyInPandas(_fold_route, FOLDED_SCHEMA)
+    """One row a step with its resolution, records and the edge from the step before it (WN3, J12).
+
+    A route's steps are gathered in order as one array, so an Arrow batch holds many routes.
+    """
+    columns = ["step_index", "step_id", "route_id", "canonical_reaction_smiles", "reaction_smiles", "input_intermediate", "output_intermediate"]
+    gathered = steps.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("steps"))
+    schema = to_arrow_schema(struct(FOLDED_SCHEMA))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for route in batch.column("steps").to_pylist():
+                state = RouteFold({})
+                rows.extend(state.step(step) for step in route)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return gathered.select("steps").mapInArrow(fold, FOLDED_SCHEMA)
 
 
 def _repairs(texts: pd.Series, contexts: pd.Series, continuity: pd.Series) -> pd.Series:
