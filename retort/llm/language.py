@@ -157,7 +157,7 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, mo
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
     ranked = labelled.join(F.broadcast(common), "lang", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     chosen = ranked.where(F.col("rank") <= per_language).select("h").distinct()
-    return docs.where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen), "h", "left_semi").select("text", "lang")
+    return docs.where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h", "lang"]).select("text", "lang")
 
 
 def held_out() -> "F.Column":

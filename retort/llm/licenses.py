@@ -224,7 +224,9 @@ def fit(unknown: list[str]) -> LicenseModel:
 
 def unknown_sample(docs: DataFrame, documents: int = UNKNOWN_SAMPLE) -> list[str]:
     """Lines of the documents with the least hashes, without those that speak of licences or rights."""
-    rows = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(documents).collect()
+    hashed = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(documents).collect()]  # texts of the chosen only come after
+    rows = sorted(hashed.where(F.col("h").isin(least)).distinct().collect(), key=lambda r: (r["h"], r["text"])) if least else []
     cues = ("licen", "copyright", "gpl", "creative commons", "cc by", "cc0")
     lines = [x for row in rows for x in row["text"].split("\n") if not any(c in x.lower() for c in cues)]
     found = _paragraphs(lines) if lines else None
