@@ -23,8 +23,8 @@ LEAST_SCORE = 0.2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality(docs, carry=tuple(docs.columns)).where("kept").select("row.*")
+    """Documents that the quality rules keep, with limits from the distances of all."""
+    return quality(docs, carry=tuple(docs.columns), by_distribution=True).where("kept").select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

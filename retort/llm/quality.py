@@ -2,14 +2,19 @@
 
 A text's character classes and common words are counted and held against the reference of its language with
 the Jensen-Shannon distance (base 2, so 0 to 1). The references are the counts over all documents of the language.
+The largest distances allowed are fixed, or come from the distances of all documents of the language, by length.
 Short texts have noisy histograms, so below a number of words only the base rules decide.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.session import cut_lineage
+
 # Frequent function words of the languages that have a reference.
 COMMON_WORDS = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "on", "with"),
@@ -23,8 +28,14 @@ CLASSES = {"upper": "A-Z", "digit": "0-9", "symbol": "#*$%&|<>", "punct": r".,;:
 WINDOW = 8
 #: Fewer words than this: no verdict from histograms.
 MIN_WORDS = 40
-#: Largest distance of the character classes, and of the common words, from the language's reference.
+#: Largest distance of the character classes, and of the common words, from the language's reference, whatever the others are.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
+#: A distance may lie so many deviations over the median of its language and length. The deviation is that of the lower
+#: half, which junk doesn't move, and at least NOISE / sqrt(words), the noise of a histogram of so many words.
+CLASS_DEVIATIONS, WORD_DEVIATIONS, NOISE = 6.0, 4.5, 0.3
+#: Fewer different documents of a language and length (in powers of two of words): the limits are those of the next shorter.
+LEAST_DOCUMENTS = 30
+_LENGTHS = 40
 
 _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 
@@ -113,16 +124,21 @@ def _with_rest(common: Column, total: Column) -> Column:
     return F.concat(common, F.array(F.greatest(total.cast("double") - F.aggregate(common, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
-def language_references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+def _histograms(docs: DataFrame) -> DataFrame:
+    """(lang, n_words, classes, common) of every row."""
+    f = features(docs.select("text", "lang"), repeats=False)
+    return f.select("lang", F.col("f.n_words").alias("n_words"), F.col("f.classes").alias("classes"), F.col("f.common").alias("common"))
+
+
+def language_references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """For each language of COMMON_WORDS with any text: (character-class shares, common-word shares) over all its documents.
 
     One aggregation with a partial sum in each task; at most one row a language reaches the driver.
     """
-    counted = features(docs.where(F.col("lang").isin(list(COMMON_WORDS))).select("text", "lang"), repeats=False).select("lang", "f")
     n_classes, n_common = len(CLASSES) + 1, len(_WORDS)
-    sums = [F.sum(F.col("f.classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("f.common")[i]).alias(f"w{i}") for i in range(n_common)]
+    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(n_common)]
     found = {}
-    for row in counted.groupBy("lang").agg(F.sum("f.n_words").alias("n"), *sums).collect():
+    for row in counted.where(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect():
         classes = [row[f"c{i}"] for i in range(n_classes)]
         common = [row[f"w{i}"] for i in range(n_common)]
         common.append(max(0.0, row["n"] - sum(common)))
@@ -146,35 +162,108 @@ def jensen_shannon(counts: Column, reference: list[float]) -> Column:
     return _let(total, lambda t: F.when(t > 0, distance(t)))
 
 
-def quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def _nearest(counts: str, references: dict[str, tuple[list[float], list[float]]], which: int) -> Column:
+    """Distance from the reference of the row's language, or from the nearest of all if it has none."""
+    by_lang = {lang: jensen_shannon(F.col(counts), r[which]) for lang, r in references.items()}
+    if not by_lang:
+        return F.lit(None).cast("double")
+    least = F.array_min(F.array(*by_lang.values()))
+    out = None
+    for lang, d in by_lang.items():
+        out = F.when(F.col("lang") == lang, d) if out is None else out.when(F.col("lang") == lang, d)
+    return F.round(out.otherwise(least), 6)
+
+
+def _length(n_words: Column) -> Column:
+    """The power of two that a number of words has reached."""
+    return F.least(F.floor(F.log2(F.greatest(n_words, F.lit(1)))), F.lit(_LENGTHS - 1)).cast("int")
+
+
+def _spread(counts: dict[float, int]) -> tuple[float, float, int]:
+    """(median, deviation of the lower half, number) of values with counts; the deviation is that of a normal curve."""
+    total, seen, quarter = sum(counts.values()), 0, None
+    for value in sorted(counts):
+        seen += counts[value]
+        if quarter is None and 4 * seen >= total:
+            quarter = value
+        if 2 * seen >= total:
+            return value, (value - quarter) / 0.6745, total
+    return 0.0, 0.0, 0
+
+
+def distance_limits(counted: DataFrame, references: dict[str, tuple[list[float], list[float]]]) -> dict[str, list[tuple[float, float, float, float, float]]]:
+    """For each language with a reference, and "" for all others: limits by power of two of words.
+
+    (class median, class deviations allowed, those of noise times sqrt(words), word limit times sqrt(words), most words to divide by).
+    Word distances fall as 1 / sqrt(words), so they are compared times that. Documents that are equal in all counts
+    count once, so copies don't narrow the limits. Histograms of rounded distances reach the driver: languages with a
+    reference, lengths and steps of 0.01 or 0.001, however many documents there are.
+    """
+    if not references:
+        return {}
+    group = F.when(F.col("lang").isin(list(references)), F.col("lang")).otherwise("").alias("lang")
+    whole = _once(counted.where(F.col("n_words") >= MIN_WORDS), _with_rest(F.col("common"), F.col("n_words")), "f_all")
+    far = whole.select(group, "n_words", _nearest("classes", references, 0).alias("c"), _nearest("f_all", references, 1).alias("w")).distinct()
+    values = F.array(F.struct(F.lit(0).alias("which"), F.round("c", 3).alias("value")), F.struct(F.lit(1).alias("which"), F.round(F.col("w") * F.sqrt("n_words"), 2).alias("value")))
+    rows = far.select("lang", _length(F.col("n_words")).alias("length"), F.inline(values)).where("value is not null").groupBy("lang", "length", "which", "value").count().collect()
+    counts: dict[tuple, dict[float, int]] = defaultdict(dict)
+    for r in rows:
+        counts[r["lang"], r["length"], r["which"]][r["value"]] = r["count"]
+    out = {}
+    for lang in [*references, ""]:
+        limit, limits = (MAX_CLASS_DISTANCE, 0.0, 0.0, MAX_WORD_DISTANCE, 1.0), []
+        for length in range(_LENGTHS):
+            c, w = (_spread(counts[lang, length, which]) for which in (0, 1))
+            if min(c[2], w[2]) >= LEAST_DOCUMENTS:
+                limit = (c[0], CLASS_DEVIATIONS * c[1], CLASS_DEVIATIONS * NOISE, w[0] + WORD_DEVIATIONS * max(w[1], NOISE), 2.0 ** (length + 1))
+            limits.append(limit)
+        out[lang] = limits
+    return out
+
+
+def _allowed(limits: dict[str, list[tuple[float, float, float, float, float]]], n_words: Column) -> tuple[Column, Column]:
+    """The largest class and word distances of a row."""
+    length = _length(n_words)
+
+    def pick(k: int) -> Column:
+        out = None
+        for lang, by_length in limits.items():
+            value = F.get(F.array(*[F.lit(float(x[k])) for x in by_length]), length)
+            if lang:
+                out = F.when(F.col("lang") == lang, value) if out is None else out.when(F.col("lang") == lang, value)
+            else:
+                out = out.otherwise(value)
+        return out
+
+    words = n_words.cast("double")
+    return (
+        F.least(pick(0) + F.greatest(pick(1), pick(2) / F.sqrt(words)), F.lit(MAX_CLASS_DISTANCE)),
+        F.least(pick(3) / F.sqrt(F.least(words, pick(4))), F.lit(MAX_WORD_DISTANCE)),
+    )
+
+
+def quality(docs: DataFrame, carry: tuple[str, ...] = (), by_distribution: bool = False) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance) of every row.
 
     ``docs`` has doc_id, text and lang; null text counts as empty, so it has no words and fails the base rules.
     A null or other lang is held against the nearest of all references. Distances are rounded to six places and null
     where there is no reference or nothing to count, which rejects nothing. Rows that repeat are judged alike.
+    Without ``by_distribution`` the limits are MAX_CLASS_DISTANCE and MAX_WORD_DISTANCE at every length, as in the SQL of
+    op2_distribution_quality; no text is so far by its common words alone. With it they are those of ``distance_limits``.
     ``carry`` names columns to return as well, packed into one struct ``row``, so their names may be any.
     """
     packed = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
     docs = docs.select("doc_id", "text", "lang", *packed)
-    references = language_references(docs)
+    # Kept for the limits, so that these take no further pass over the texts.
+    counted = cut_lineage(_histograms(docs)) if by_distribution else _histograms(docs.where(F.col("lang").isin(list(COMMON_WORDS))))
+    references = language_references(counted)
+    limits = distance_limits(counted, references) if by_distribution else {}
     rows = features(docs).withColumn("f_all", _with_rest(F.col("f.common"), F.col("f.n_words")))
-
-    def nearest(counts: str, which: int) -> Column:
-        by_lang = {lang: jensen_shannon(F.col(counts), r[which]) for lang, r in references.items()}
-        if not by_lang:
-            return F.lit(None).cast("double")
-        least = F.array_min(F.array(*by_lang.values()))
-        out = None
-        for lang, d in by_lang.items():
-            out = F.when(F.col("lang") == lang, d) if out is None else out.when(F.col("lang") == lang, d)
-        return F.round(out.otherwise(least), 6)
-
-    distances = F.struct(nearest("f.classes", 0).alias("c"), nearest("f_all", 1).alias("w"))
+    distances = F.struct(_nearest("f.classes", references, 0).alias("c"), _nearest("f_all", references, 1).alias("w"))
     judged = _once(rows, distances, "f_far")
     failed = (F.col("f.n_words") < 20) | (100 * F.col("f.repeat") > 30 * F.col("f.n_words"))
-    odd = (F.col("f.n_words") >= MIN_WORDS) & (
-        (F.coalesce("f_far.c", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("f_far.w", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    )
+    most_c, most_w = _allowed(limits, F.col("f.n_words")) if limits else (F.lit(MAX_CLASS_DISTANCE), F.lit(MAX_WORD_DISTANCE))
+    odd = (F.col("f.n_words") >= MIN_WORDS) & ((F.coalesce("f_far.c", F.lit(0.0)) > most_c) | (F.coalesce("f_far.w", F.lit(0.0)) > most_w))
     return judged.select(
         "doc_id",
         F.col("f.n_words").alias("n_words"),

@@ -102,6 +102,20 @@ def test_quality(spark, odd_docs):
     assert carried.columns == odd_docs.columns and carried.count() == odd_docs.count()
 
 
+def test_quality_by_distribution(spark, odd_docs):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    judged = quality.quality(docs, by_distribution=True).join(labels, "doc_id").where("not base_failed").collect()
+    junk = [r["kept"] for r in judged if r["quality"] == 0 and r["n_words"] >= quality.MIN_WORDS]
+    assert len(junk) >= 20 and sum(junk) <= 0.2 * len(junk)
+    clean = [r["kept"] for r in judged if r["quality"] == 1]
+    assert sum(clean) >= 0.995 * len(clean)
+    by_words = [r for r in judged if not r["kept"] and r["class_distance"] <= 0.2 and r["quality"] == 0]
+    assert by_words and all(r["word_distance"] < quality.MAX_WORD_DISTANCE for r in by_words)
+    assert quality.quality(odd_docs, by_distribution=True).count() == odd_docs.count()
+    assert quality.quality(odd_docs.limit(0), by_distribution=True).count() == 0
+
+
 def test_jensen_shannon(spark):
     f = lambda counts, ref: spark.range(1).select(quality.jensen_shannon(F.array(*[F.lit(float(x)) for x in counts]), ref).alias("d")).first()["d"]
     assert f([5, 5], [0.5, 0.5]) == 0 and f([1, 0], [0.0, 1.0]) == 1 and f([0, 0], [0.5, 0.5]) is None
