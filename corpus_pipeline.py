@@ -28,10 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised: not ``und``, and a score of LEAST_SCORE or more."""
+    """Documents in which a language is recognised: not ``und``, which texts unlike those of every language are too, and a score of LEAST_SCORE or more."""
     model = fit_on(docs)
     packed = docs.select("text", F.struct(*docs.columns).alias("row"))
-    told = identify(packed, model, keep=("row",))
+    told = identify(packed, model, keep=("row",), reject=True)
     return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 

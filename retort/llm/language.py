@@ -22,6 +22,14 @@ SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 300, 64
 BINS = 1 << 14
 EPOCHS, REGULAR = 12, 2e-4
 UNDETERMINED = "und"
+#: A text is no text of its language if its trigrams are so many deviations less usual than those of the sample.
+REJECT_DEVIATIONS = 6.0
+#: And so large a share of it is in no such language: 0 is the median of the language's own sample, 1 that of the other languages'.
+FOREIGN_SHARE = 0.25
+#: Parts the sample is dealt into: each is held against the trigrams of the others.
+HELD_PARTS = 5
+#: Fewer sample documents of a language: nothing is rejected as not of it. Most trigrams by which noise is taken to fall.
+LEAST_CALIBRATED, STEADY_TRIGRAMS = 20, 4000
 
 # Families of related languages; a code that is in none is a family of its own.
 FAMILIES = {
@@ -65,6 +73,25 @@ class LanguageModel:
     pairs: list[tuple[int, int]]
     weights: np.ndarray  # (BINS, families + pairs)
     bias: np.ndarray
+    usual: np.ndarray  # (BINS, languages): log2 of each trigram's share in a language's sample
+    centre: np.ndarray  # by language: median of the sample's means of it, and the least of (mean - centre) * sqrt(trigrams)
+    least: np.ndarray
+    far: np.ndarray  # by language: the mean that a text with FOREIGN_SHARE of other text has
+
+    def foreign(self, part: Slice, named: list[str]) -> np.ndarray:
+        """Whether each text is too unlike the sample of the language that it was taken for, by the mean of ``usual``."""
+        bins = trigram_bins(part.data)
+        low = np.minimum(part.offsets[:-1], len(bins))
+        high = np.maximum(np.minimum(part.offsets[1:] - 2, len(bins)), low)
+        out = high == low
+        for k, code in enumerate(self.languages):
+            own = np.flatnonzero([n == code for n in named] & ~out)
+            if len(own):
+                sums = np.concatenate([[0.0], np.cumsum(self.usual[bins, k], dtype=np.float64)])
+                n = high[own] - low[own]
+                mean = (sums[high[own]] - sums[low[own]]) / n
+                out[own] = (mean < self.far[k]) & ((mean - self.centre[k]) * np.sqrt(np.minimum(n, STEADY_TRIGRAMS)) < self.least[k])
+        return out
 
     def scores(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """(mean margins of each text and machine, trigrams of each text)."""
@@ -144,7 +171,42 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
         at = np.flatnonzero((label == a) | (label == b))
         machines.append(_train([rows[i] for i in at], np.where(label[at] == a, 1, -1)))
     weights = np.stack([w for w, _ in machines], axis=1) if machines else np.zeros((BINS, 0))
-    return LanguageModel(codes, families, pairs, weights.astype(np.float32), np.array([b for _, b in machines]))
+    counts = [(bins, np.rint(share * n)) for (bins, share), n in zip(rows, [max(1, len(t.encode()) - 2) for t in texts], strict=True)]
+    return LanguageModel(codes, families, pairs, weights.astype(np.float32), np.array([b for _, b in machines]), *_typical(counts, label, len(codes)))
+
+
+def _usual(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log2 of each bin's share, half a trigram added to each. A document adds its counts at most as if it had STEADY_TRIGRAMS."""
+    total = np.full(BINS, 0.5)
+    for bins, n in counts:
+        total[bins] += n * min(1.0, STEADY_TRIGRAMS / max(1.0, n.sum()))
+    return np.log2(total / total.sum())
+
+
+def _typical(counts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, n_languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(usual, centre, least, far) of each language; centre and least from documents held against the others' trigrams only."""
+    usual, centre, least = np.zeros((BINS, n_languages)), np.zeros(n_languages), np.full(n_languages, -np.inf)
+    far = np.full(n_languages, -np.inf)
+    for k in range(n_languages):
+        own = [counts[i] for i in np.flatnonzero(label == k)]
+        usual[:, k] = _usual(own)
+        if len(own) < LEAST_CALIBRATED:
+            continue
+        means, sizes = [], []
+        for fold in range(HELD_PARTS):
+            table = _usual([x for i, x in enumerate(own) if i % HELD_PARTS != fold])
+            for bins, n in own[fold::HELD_PARTS]:
+                if n.sum():
+                    means.append(float(table[bins] @ n / n.sum())), sizes.append(n.sum())
+        if len(means) < LEAST_CALIBRATED:
+            continue
+        centre[k] = np.median(means)
+        off = (np.array(means) - centre[k]) * np.sqrt(np.minimum(sizes, STEADY_TRIGRAMS))
+        least[k] = -REJECT_DEVIATIONS * max(float(np.median(np.abs(off))) * 1.4826, 1.0)
+        other = [float(usual[bins, k] @ n / n.sum()) for i, (bins, n) in enumerate(counts) if label[i] != k and n.sum()]
+        unlike = float(np.median(other)) if len(other) >= LEAST_CALIBRATED else -float(np.log2(BINS))
+        far[k] = centre[k] - FOREIGN_SHARE * max(centre[k] - unlike, 0.0)
+    return usual.astype(np.float32), centre, least, far
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = MOST_LANGUAGES) -> DataFrame:
@@ -168,9 +230,12 @@ def held_out() -> "F.Column":
 PREDICTED = "lang_pred string, score double"
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), reject: bool = False) -> DataFrame:
     """The ``keep`` columns of each row with lang_pred and score (0 to 1) from its whole text.
 
+    Each text is given to one of the model's languages; with ``reject`` one that isn't like the sample of that language
+    (in another, in several or in none) is ``und`` with score 0.
+
     A null text and one without a letter are ``und`` with score 0. A letter is anything that isn't ASCII punctuation,
     a digit, a space or a control character in the ASCII range, or that Unicode classes as a letter beyond it.
     """
@@ -192,6 +257,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
                 some = sums[part.offsets[1:]] > sums[part.offsets[:-1]]
                 for i in np.flatnonzero(~some).tolist():  # letters beyond ASCII are looked for only where none is in it
                     some[i] = bool(letter.search(part.data[part.offsets[i] : part.offsets[i + 1]].tobytes().decode()))
+                if reject and machine.languages:
+                    some = some & ~machine.foreign(part, named)
                 lang = [n if s else UNDETERMINED for n, s in zip(named, some.tolist(), strict=True)]
                 columns = [batch.column(c)[rows] for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(np.where(some, sure, 0.0), pa.float64())], names=[*keep, "lang_pred", "score"])

@@ -133,6 +133,27 @@ def test_language(spark, odd_docs):
     assert language.language_predictions(odd_docs.limit(0)).count() == 0
 
 
+def test_language_reject(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").where("quality = 1 and length(text) > 300").collect()
+    by_lang = {k: [r["text"].split()[:60] for r in rows if r["lang"] == k][:20] for k in ("de", "en", "es", "fr")}
+    mixed = [(f"{a}+{b}", " ".join(x + y)) for a in by_lang for b in by_lang if a != b for x, y in zip(by_lang[a], by_lang[b], strict=False)]
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    ]
+    model = language.fit_on(docs)
+    planted = spark.createDataFrame([*mixed, *[("foreign", t) for t in foreign]], "kind string, text string")
+    told = language.identify(planted, model, keep=("kind",), reject=True).collect()
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in told if r["kind"] == "foreign")
+    assert sum(r["lang_pred"] != "und" for r in told) <= 0.05 * len(mixed)
+    clean = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    assert sum(r["lang_pred"] == "und" for r in language.identify(clean, model, reject=True).collect()) <= 0.02 * len(rows)
+
+
 def test_token_counts_and_prefixes(spark, odd_docs):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
