@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retort.session import cut_lineage
+
 FRACTIONS = {"train": 0.8, "val": 0.1, "test": 0.1}
-#: Components that are packed one by one on the driver (40 MB); smaller ones beyond that are dealt by hash.
+#: Components that the driver holds at a time (40 MB). All are packed one by one, in blocks of so many.
 PACKED_COMPONENTS = 500_000
 
 
@@ -16,39 +21,48 @@ def _hash(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def _pack(ordered: Iterable[tuple[str, int]], filled: dict[str, int], room: dict[str, float], seed: int) -> dict[str, str]:
+    """Splits of components in the given order; ``filled`` is brought up to date."""
+    out = {}
+    for component, n in ordered:
+        split = min(room, key=lambda s: ((filled[s] + n) / room[s], filled[s] / room[s], _hash(f"{seed}|{component}|{s}")))
+        filled[split] += n
+        out[component] = split
+    return out
+
+
 def pack_sizes(sizes: list[tuple[str, int]], seed: int = 42, fractions: dict[str, float] = FRACTIONS, total: int | None = None) -> tuple[dict[str, str], dict[str, int]]:
     """Largest first; each to the split with the least projected fill, then current fill, then a hash."""
     total = sum(n for _, n in sizes) if total is None else total
     filled = dict.fromkeys(fractions, 0)
     room = {s: max(total * f, 1) for s, f in fractions.items()}
-    out = {}
-    for component, n in sorted(sizes, key=lambda x: (-x[1], _hash(f"{seed}|{x[0]}"), x[0])):
-        split = min(fractions, key=lambda s: ((filled[s] + n) / room[s], filled[s] / room[s], _hash(f"{seed}|{component}|{s}")))
-        filled[split] += n
-        out[component] = split
-    return out, filled
+    return _pack(sorted(sizes, key=lambda x: (-x[1], _hash(f"{seed}|{x[0]}"), x[0])), filled, room, seed), filled
 
 
 def pack_components(members: DataFrame, component: str = "component", seed: int = 42, fractions: dict[str, float] = FRACTIONS) -> DataFrame:
-    """(component, rows, split). The order of packing is sequential, so component sizes come to the driver, up to PACKED_COMPONENTS.
+    """(component, rows, split), all by the rule of ``pack_sizes``.
 
-    Beyond that number the rest, none larger than those packed, are dealt by a hash of the seed and id into the splits' open shares;
-    with so many small ones the shares come out as exactly.
+    The order of packing is sequential, so sizes pass through the driver in that order, a block of PACKED_COMPONENTS held
+    at a time; the splits of each block are written out before the next is read.
     """
     spark = members.sparkSession
     sizes = members.groupBy(component).agg(F.count("*").alias("rows")).withColumn("tie", F.sha2(F.concat(F.lit(f"{seed}|"), F.col(component).cast("string")), 256))
-    largest = sizes.orderBy(F.desc("rows"), "tie", component).limit(PACKED_COMPONENTS).collect()
+    sizes = cut_lineage(sizes)  # blocks and the join see the same rows
     totals = sizes.agg(F.sum("rows").alias("rows"), F.count("*").alias("n")).first()
-    names = {str(r[component]): r[component] for r in largest}
-    chosen, filled = pack_sizes([(str(r[component]), r["rows"]) for r in largest], seed, fractions, total=totals["rows"] or 0)
+    room = {s: max((totals["rows"] or 0) * f, 1) for s, f in fractions.items()}
+    filled = dict.fromkeys(fractions, 0)
     kind = members.schema[component].dataType.simpleString()
-    packed = spark.createDataFrame([(names[c], s) for c, s in chosen.items()], f"`{component}` {kind}, split string")
+    ordered = sizes.orderBy(F.desc("rows"), "tie", F.col(component).cast("string"))
     if totals["n"] <= PACKED_COMPONENTS:
-        return sizes.select(component, "rows").join(F.broadcast(packed), component)
-    open_room = {s: max(totals["rows"] * f - filled[s], 0) for s, f in fractions.items()}
-    whole = sum(open_room.values()) or 1
-    at = F.conv(F.substring("tie", 1, 12), 16, 10).cast("double") / float(1 << 48)
-    dealt = F.lit(list(fractions)[-1])
-    for s in reversed(list(fractions)[:-1]):
-        dealt = F.when(at < sum(open_room[x] for x in list(fractions)[: list(fractions).index(s) + 1]) / whole, s).otherwise(dealt)
-    return sizes.join(packed, component, "left").select(component, "rows", F.coalesce("split", dealt).alias("split"))
+        rows, blocks = iter(ordered.collect()), 1
+    else:
+        rows, blocks = cut_lineage(ordered).toLocalIterator(), -(-totals["n"] // PACKED_COMPONENTS)
+    packed = []
+    for _ in range(blocks):
+        block = list(islice(rows, PACKED_COMPONENTS))
+        names = {str(r[component]): r[component] for r in block}
+        chosen = _pack([(str(r[component]), r["rows"]) for r in block], filled, room, seed)
+        part = spark.createDataFrame([(names[c], s) for c, s in chosen.items()], f"`{component}` {kind}, split string")
+        packed.append(part if blocks == 1 else cut_lineage(part))
+    found = reduce(DataFrame.unionByName, packed)
+    return sizes.select(component, "rows").join(F.broadcast(found) if blocks == 1 else found, component)

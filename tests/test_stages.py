@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from retort.governance import leakage, splits
 from retort.ml import anomaly, calibration, train
-from retort.operators import aggregates, identity, queue
+from retort.operators import aggregates, identity, packing, queue
 from retort.operators.components import connected_components
 from retort.operators.packing import pack_sizes
 from retort.stages import canonical, context, derivation, mapping
@@ -97,6 +97,14 @@ def test_packing_fills_the_shares():
     assert abs(filled["train"] / total - 0.8) < 0.01 and chosen == pack_sizes(list(reversed(sizes)))[0]
 
 
+def test_packing_in_blocks(spark, monkeypatch):
+    sizes = [(k, 1 + (k % 3 == 0) + 40 * (k == 7)) for k in range(1, 301)]
+    members = spark.createDataFrame([(k,) for k, n in sizes for _ in range(n)], "component long")
+    monkeypatch.setattr(packing, "PACKED_COMPONENTS", 70)
+    got = {str(r["component"]): r["split"] for r in packing.pack_components(members).collect()}
+    assert got == pack_sizes([(str(k), n) for k, n in sizes])[0]
+
+
 def test_mapping_and_derivation(spark):
     class Fails:
         name = "rxnmapper"
