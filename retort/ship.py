@@ -12,15 +12,15 @@ from pyspark.sql import SparkSession
 _ROOT = Path(__file__).resolve().parent.parent
 
 
-#: Rows of an Arrow batch where the session has Spark's default; texts can be long, and a batch is held whole.
-ARROW_ROWS, SPARK_ARROW_ROWS = "2000", "10000"
+#: Rows and bytes of an Arrow batch where the session has Spark's defaults; texts can be long, and a batch is held whole.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds a zip of the package to the session once; executors fetch it from the driver."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting, SPARK_ARROW_ROWS) == SPARK_ARROW_ROWS:
-        spark.conf.set(setting, ARROW_ROWS)
+    """Adds a zip of the package to the session once, which executors fetch from the driver, and bounds Arrow batches."""
+    for setting, (default, ours) in ARROW_LIMITS.items():
+        if spark.conf.get(setting, default) == default:
+            spark.conf.set(setting, ours)
     context = spark.sparkContext
     if getattr(context, "_retort_shipped", False):
         return
