@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retort.llm.textbatch import Slice, mix, text_slices
+from retort.llm.textbatch import Slice, map_batches, mix, text_slices
 
 #: Bound of the training sample: so many documents of each of so many languages, those of the least id hashes.
 SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 300, 64
@@ -263,7 +263,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
                 columns = [batch.column(c)[rows] for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(np.where(some, sure, 0.0), pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*keep, F.col("text").cast("string").alias("_text")), run, schema)
 
 
 def fit_on(docs: DataFrame) -> LanguageModel:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.textbatch import NEWLINE, Slice, mix, text_slices
+from retort.llm.textbatch import NEWLINE, Slice, map_batches, mix, text_slices
 
 UNKNOWN = "unknown"
 BINS_LOG = 15
@@ -269,4 +269,4 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
                 )
 
     schema = "doc_id long, n_paragraphs long, families array<string>, n_confirmed long, matches array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, schema)

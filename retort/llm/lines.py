@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.textbatch import BLANKS, NEWLINE, Slice, mix, text_slices
+from retort.llm.textbatch import BLANKS, NEWLINE, Slice, map_batches, mix, text_slices
 from retort.session import cut_lineage
 
 SEGMENTS = 16
@@ -199,20 +199,20 @@ def near_line_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     ``firsts``: distinct lines (h1, h2) with their earliest occurrence ``first``.
     """
     keyed = _keyed(docs)
-    halves = keyed.mapInArrow(_occurrences, OCCURRENCE).select(F.explode("halves").alias("key"), "h1")
+    halves = map_batches(keyed, _occurrences, OCCURRENCE).select(F.explode("halves").alias("key"), "h1")
     shared = cut_lineage(halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key"))
     few = shared.count() <= BROADCAST_KEYS
-    texts = keyed.mapInArrow(_line_texts, "h1 long, h2 long, halves array<long>, line string").withColumn("key", F.explode("halves"))
+    texts = map_batches(keyed, _line_texts, "h1 long, h2 long, halves array<long>, line string").withColumn("key", F.explode("halves"))
     likely = texts.join(F.broadcast(shared) if few else shared, "key", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     likely = cut_lineage(likely)
 
-    keys = likely.mapInArrow(_segments, "h1 long, h2 long, key long").distinct()
+    keys = map_batches(likely, _segments, "h1 long, h2 long, key long").distinct()
     keys = cut_lineage(keys)
     hot = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     mine = keys.join(hot, "key").groupBy("h1", "h2").agg(F.collect_set("key").alias("hot"))
     candidates = cut_lineage(likely.join(mine, ["h1", "h2"]).join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
 
-    variants = candidates.select("h1", "h2", "line", "hot").mapInArrow(_variants, VARIANT).distinct()
+    variants = map_batches(candidates.select("h1", "h2", "line", "hot"), _variants, VARIANT).distinct()
     placed = cut_lineage(variants.join(candidates.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("group", (F.col("kind") > SAME_PLACE).cast("int")))
     item = F.struct("first", "h1", "h2")
     leads = placed.groupBy("variant", "group").agg(
@@ -248,7 +248,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     and text are one document and lose the same lines. Lines without a word are never touched.
     """
     keyed = _keyed(docs)
-    occurrences = keyed.mapInArrow(_occurrences, OCCURRENCE).select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("at"))
+    occurrences = map_batches(keyed, _occurrences, OCCURRENCE).select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("at"))
     firsts = cut_lineage(occurrences.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")))
     near = near_line_links(docs, firsts).select("h1", "h2").distinct().withColumn("near", F.lit(True))
     loses = cut_lineage(firsts.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retort.llm.flac import BLOCK, Stream, decode, decode_frames, encode
-from retort.llm.textbatch import Slice, text_slices
+from retort.llm.textbatch import Slice, map_batches, text_slices
 
 
 def payload(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +49,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media = [data[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(part))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[slice(*part.rows)].cast(pa.int64()), pa.array(np.diff(part.offsets), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, STORED)
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, block int, sample_offset long, n_samples long, byte_offset long, pcm binary"
-    return media.select("doc_id", "media").where("media is not null").mapInArrow(run, schema)
+    return map_batches(media.select("doc_id", "media").where("media is not null"), run, schema)
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -108,4 +108,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
                     names=[x.split()[0] for x in DIGESTS.split(", ")],
                 )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, DIGESTS)
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, DIGESTS)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.textbatch import BLANKS, Slice, mix, seeds, text_slices
+from retort.llm.textbatch import BLANKS, Slice, map_batches, mix, seeds, text_slices
 from retort.operators.components import connected_components
 from retort.session import cut_lineage
 
@@ -213,7 +213,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -
     ids = wanted.select(F.col("rep").alias("doc_id"))
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids.distinct()) if few else ids, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(width), "node binary, members binary")
+    sets = map_batches(texts, _sets(width), "node binary, members binary")
     return cut_lineage(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")))
 
 
@@ -228,7 +228,7 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int,
     )
     # a pair whose sizes alone rule the threshold out need not be intersected
     fit = both.where(100 * F.least(F.octet_length("left"), F.octet_length("right")) >= percent * F.greatest(F.octet_length("left"), F.octet_length("right")))
-    counted = fit.select("src", "dst", "left", "right").mapInArrow(_overlap, "src binary, dst binary, shared long")
+    counted = map_batches(fit.select("src", "dst", "left", "right"), _overlap, "src binary, dst binary, shared long")
     sizes = nodes.select("node", "n_shingles")
     return cut_lineage(
         counted.join(sizes.select(F.col("node").alias("src"), F.col("n_shingles").alias("n_src")), "src")
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     non-null id; its row is kept only if the component has none. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut_lineage(docs.mapInArrow(_sketch(width), SKETCH))
+    sketches = cut_lineage(map_batches(docs, _sketch(width), SKETCH))
     nodes = cut_lineage(
         sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in PLANES])
     )

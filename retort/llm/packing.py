@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.textbatch import ChunkMemo, Slice, distinct_chunks, gather, text_slices
+from retort.llm.textbatch import ChunkMemo, Slice, distinct_chunks, gather, map_batches, text_slices
 
 END_ID, SPECIAL = 2, b"<|endoftext|>"
 OPEN_BINS = 4096
@@ -189,4 +189,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
     Sequence ids bear the task's number, so a retried task makes the same ones.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.mapInArrow(_pack(tokenizer_path, ranks_path, pattern, capacity), PACKED)
+    return map_batches(docs, _pack(tokenizer_path, ranks_path, pattern, capacity), PACKED)

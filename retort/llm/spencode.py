@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from retort.llm.lattice import FollowCache, Lattice, regular
 from retort.llm.piecemodel import SPACE, PieceModel, piece_model
 from retort.llm.spchunks import chunk_texts, space_chunks, with_leading_space
-from retort.llm.textbatch import ChunkMemo, Slice, distinct_chunks, gather, text_slices
+from retort.llm.textbatch import ChunkMemo, Slice, distinct_chunks, gather, map_batches, text_slices
 
 
 def encode_chunks(model: PieceModel, follows: FollowCache, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[slice(*part.rows)].cast(pa.int64()), lists], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, ENCODED)
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, ENCODED)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -104,7 +104,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [None if ids is None else decode_ids(model, ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -139,4 +139,4 @@ def encoding_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 )
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, round_trip boolean")
+    return map_batches(docs, run, "doc_id long, n_ids long, ids_sha256 string, round_trip boolean")

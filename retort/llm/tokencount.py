@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from retort.llm.lattice import FollowCache, Lattice, regular
 from retort.llm.piecemodel import PieceModel, piece_model
 from retort.llm.spchunks import chunk_texts, space_chunks, with_leading_space
-from retort.llm.textbatch import ChunkMemo, Slice, distinct_chunks, gather, text_slices
+from retort.llm.textbatch import ChunkMemo, Slice, distinct_chunks, gather, map_batches, text_slices
 
 
 def prefix_table(model: PieceModel, follows: FollowCache, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def prefix_counts(docs: DataFrame, model_path: str, budget: int = 4096) -> DataF
     A null text counts as empty: no tokens and an empty table. Repeated ids and other columns don't matter.
     """
     docs = _sized(docs)
-    return docs.mapInArrow(_measure(model_path, budget, True), "doc_id long, n_bytes long, n_tokens long, fit_chars long, prefix_tokens binary")
+    return map_batches(docs, _measure(model_path, budget, True), "doc_id long, n_bytes long, n_tokens long, fit_chars long, prefix_tokens binary")
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
@@ -114,7 +114,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     aren't kept here.
     """
     docs = _sized(docs)
-    counted = docs.mapInArrow(_measure(model_path, limit, False), "doc_id long, n_bytes long, n_tokens long, fit_chars long")
+    counted = map_batches(docs, _measure(model_path, limit, False), "doc_id long, n_bytes long, n_tokens long, fit_chars long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")
 
 
