@@ -32,8 +32,8 @@ from retort.session import cut_lineage
 
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
-#: Ids of so many documents at most (16 MB) are broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Keys of so many documents at most (24 MB) are broadcast; beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
 #: Buckets of more nodes are worked on in blocks of about so many nodes or bytes of sets.
 SMALL_BUCKET, BLOCK_NODES, BLOCK_BYTES = 64, 768, 8_000_000
 
@@ -80,13 +80,13 @@ def bit_planes(best: np.ndarray) -> list[int]:
 
 
 PLANES = [f"p{i}" for i in range(BITS * HASHES // 64)]
-SKETCH = "doc_id long, node binary, n_shingles long, bands array<long>, " + ", ".join(f"{p} long" for p in PLANES)
+SKETCH = "doc_id long, key long, node binary, n_shingles long, bands array<long>, " + ", ".join(f"{p} long" for p in PLANES)
 
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys_of = batch.column("doc_id"), batch.column("key")
             for part in text_slices(batch.column("text")):
                 nodes, sizes, bands, planes = [], [], [], []
                 for _, shingles in shingle_sets(part, width):
@@ -102,9 +102,9 @@ def _sketch(width: int):
                     planes.append(bit_planes(best))
                 columns = list(zip(*planes, strict=True)) if planes else [[]] * len(PLANES)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[part.rows[0] : part.rows[1]].cast(pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                    [ids[slice(*part.rows)].cast(pa.int64()), keys_of[slice(*part.rows)], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
                     + [pa.array(x, pa.int64()) for x in columns],
-                    names=["doc_id", "node", "n_shingles", "bands", *PLANES],
+                    names=["doc_id", "key", "node", "n_shingles", "bands", *PLANES],
                 )
 
     return run
@@ -209,10 +209,9 @@ def _linker(percent: int):
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, members) of the wanted nodes; only their texts are made into sets."""
-    wanted = cut_lineage(nodes.join(wanted, "node", "left_semi").select("node", "rep"))
-    ids = wanted.select(F.col("rep").alias("doc_id"))
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids.distinct()) if few else ids, "doc_id", "left_semi").select("text")
+    wanted = cut_lineage(nodes.join(wanted, "node", "left_semi").select("node", "key"))
+    few = wanted.count() <= BROADCAST_KEYS
+    texts = docs.join(F.broadcast(wanted.select("key")) if few else wanted.select("key"), "key", "left_semi").select("text")
     sets = map_batches(texts, _sets(width), "node binary, members binary")
     return cut_lineage(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members")))
 
@@ -253,27 +252,27 @@ def _block_links(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, width: i
         .join(sets, "node")
     )
     columns = ["band", "side", "node", "component", "n_shingles", *PLANES, "bands", "members"]
-    found = dealt.select("key", "i", "j", *columns).groupBy("key", "i", "j").applyInArrow(_linker(percent), "src binary, dst binary")
+    found = dealt.select("bucket", "i", "j", *columns).groupBy("bucket", "i", "j").applyInArrow(_linker(percent), "src binary, dst binary")
     return cut_lineage(found)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, any other columns).
+def _key(doc_id: Column, text: Column) -> Column:
+    """Finds a row's text again: a hash of id and text, which rows without an id have too. Rows that share one are told apart by what else is known of them."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts are linked when
-    100 * intersection >= percent * union of their shingle sets; component_id is the least doc_id reachable and
-    kept marks the row that bears it. Null and empty texts have no shingles, are linked with nothing and stay.
-    Rows that repeat a doc_id are separate texts under one id. A null doc_id takes the component's least
-    non-null id; its row is kept only if the component has none. An empty table gives an empty result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component, component_id) of every row; component, a node, is null without shingles."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key(F.col("doc_id"), F.col("text")).alias("key"))
     sketches = cut_lineage(map_batches(docs, _sketch(width), SKETCH))
     nodes = cut_lineage(
-        sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in PLANES])
+        sketches.where("node is not null")
+        .groupBy("node")
+        .agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *[F.first(p).alias(p) for p in PLANES])
     )
-    banded = sketches.where("node is not null").select("node", F.posexplode("bands").alias("band", "key"))
-    meetings = cut_lineage(banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail"))
-    shared = cut_lineage(banded.join(meetings, "key").groupBy("key", "band", "node", "head").agg(F.lit(1).alias("one")).drop("one"))
+    banded = sketches.where("node is not null").select("node", F.posexplode("bands").alias("band", "bucket"))
+    meetings = cut_lineage(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail"))
+    shared = cut_lineage(banded.join(meetings, "bucket").groupBy("bucket", "band", "node", "head").agg(F.lit(1).alias("one")).drop("one"))
 
     pairs = shared.where("node > head").select(F.col("node").alias("dst"), F.col("head").alias("src")).distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
@@ -289,17 +288,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first_groups = connected_components(first_links)
 
     grouped = nodes.join(first_groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = shared.select("key", "band", "node").join(grouped.select("node", "component", "n_shingles", *PLANES), "node")
+    inside = shared.select("bucket", "band", "node").join(grouped.select("node", "component", "n_shingles", *PLANES), "node")
     split = (
-        inside.groupBy("key")
+        inside.groupBy("bucket")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
         .where("low < high")
-        .select("key", "members", "shingles")
+        .select("bucket", "members", "shingles")
     )
-    open_rows = cut_lineage(inside.join(split, "key"))
+    open_rows = cut_lineage(inside.join(split, "bucket"))
     left, right = (open_rows.where(F.col("members") <= SMALL_BUCKET).alias(x) for x in "lr")
     rest = (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") < F.col("r.component")) & (estimated_similarity("l", "r") >= screen(percent / 100)))
+        left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") < F.col("r.component")) & (estimated_similarity("l", "r") >= screen(percent / 100)))
         .select(F.col("l.node").alias("src"), F.col("r.node").alias("dst"))
         .distinct()
     )
@@ -307,12 +306,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     block_links = _block_links(docs, nodes, open_rows.where(F.col("members") > SMALL_BUCKET), width, percent)
     groups = connected_components(first_links.union(more_links).union(block_links))
 
-    labelled = nodes.select("node", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(least, "component").select("node", "component_id")
+    labelled = cut_lineage(nodes.select("node", "rep").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = cut_lineage(labelled.groupBy("component").agg(F.min("rep").alias("component_id")))  # written, so that the next join can split a large component
+    named = labelled.join(least, "component").select("node", "component", "component_id")
     return (
-        sketches.select("doc_id", "n_shingles", "node")
+        sketches.select("doc_id", "key", "n_shingles", "node")
         .join(named, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "key", "n_shingles", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, any other columns).
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts are linked when
+    100 * intersection >= percent * union of their shingle sets; component_id is the least doc_id reachable and
+    kept marks the row that bears it. Null and empty texts have no shingles, are linked with nothing and stay.
+    Rows that repeat a doc_id are separate texts under one id. A null doc_id takes the component's least
+    non-null id, and links as any other; its row is kept only if the component has none. An empty table gives an empty result.
+    """
+    found = _grouped(docs, width, percent).drop("key", "component")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the least doc_id, then of the least hash of id and text.
+
+    Rows without an id come after all others. Of rows with one id and text one stays. Rows without shingles (null, empty,
+    blank texts) stay, whatever repeats.
+    """
+    unset = -(2**63)
+    judged = cut_lineage(_grouped(docs, width, percent).where("component is not null").select(F.coalesce("doc_id", F.lit(unset)).alias("id"), "key", "component", F.struct(F.col("doc_id").isNull(), "doc_id", "key").alias("order")))
+    best = cut_lineage(judged.groupBy("component").agg(F.min("order").alias("best")))
+    same = judged.groupBy("component", "id", "key", "order").agg(F.count("*").alias("n")).join(best, "component")
+    marked = cut_lineage(same.where("n > 1 or order <> best").select("id", "key", (F.col("order") != F.col("best")).alias("gone")))
+    few = marked.count() <= BROADCAST_KEYS
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(unset)).alias("id"), _key(F.col("doc_id"), F.col("text")).alias("key"))
+    kept = rows.join(F.broadcast(marked) if few else marked, ["id", "key"], "left").where("not coalesce(gone, false)")
+    repeated = kept.where("gone is not null").dropDuplicates(["id", "key"])  # the best rows that repeat
+    return kept.where("gone is null").select("row.*").unionByName(repeated.select("row.*")) if not marked.where("not gone").isEmpty() else kept.select("row.*")

@@ -301,3 +301,16 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_queries(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_one_of_each(spark, odd_docs):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(None, same, "a"), (None, same, "b"), (5, same, "c"), (5, same, "d"), (9, same, "e"), (None, "quite another text of more than five words", "f"), (None, "quite another text of more than five words", "g"), (1, None, "h"), (1, None, "i"), (2, "", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r["text"] or "", r["doc_id"] or -1) for r in kept.collect())
+    assert found == sorted([("", 1), ("", 1), ("", 2), (same, 5), ("quite another text of more than five words", -1)])
+    assert minhash.one_of_each(odd_docs.limit(0)).count() == 0 and minhash.one_of_each(odd_docs).columns == odd_docs.columns
+    unnamed = minhash.near_duplicates(spark.createDataFrame([(None, same), (3, same + " eleven")], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in unnamed} == {(None, 3, False), (3, 3, True)}
