@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from retort.llm.language import UNDETERMINED, fit_on, identify
 from retort.llm.lines import dedup_lines
-from retort.llm.minhash import BROADCAST_IDS, near_duplicates
+from retort.llm.minhash import one_of_each
 from retort.llm.packing import pack_documents
 from retort.llm.quality import quality
 from retort.llm.queries import BYTES
 from retort.session import cut_lineage
+from retort.ship import ship
 from retort.sources.tables import table
 
 #: A prediction below this is taken as no language.
@@ -42,23 +43,33 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the least id. Rows without an id stay."""
-    judged = near_duplicates(docs, width=5, percent=80)
-    gone = cut_lineage(judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"))
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group: that of the least id; documents without an id come last."""
+    return one_of_each(docs, width=5, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, *BYTES, capacity=1024)
 
 
+def _shipped(stage):
+    """The stage with the package on the executors and Arrow batches bounded, whoever calls it."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", quality_stage),
-    ("language", language_stage),
-    ("line_dedup", line_stage),
-    ("near_dedup", near_stage),
-    ("packing", packing_stage),
+    (name, _shipped(stage))
+    for name, stage in (
+        ("quality", quality_stage),
+        ("language", language_stage),
+        ("line_dedup", line_stage),
+        ("near_dedup", near_stage),
+        ("packing", packing_stage),
+    )
 ]
 
 #: SQL can't express the stages; tests hold them against brute force.
