@@ -3,7 +3,20 @@
 from __future__ import annotations
 
 from retort.llm.chat import CLOSE, FINISH, HEAD, NEXT, OPEN
-from retort.llm.quality import _WORDS, CLASSES, COMMON_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS
+from retort.llm.quality import (
+    _WORDS,
+    CLASS_DEVIATIONS,
+    CLASS_STEPS,
+    CLASSES,
+    COMMON_WORDS,
+    LEAST_DOCUMENTS,
+    MAX_CLASS_DISTANCE,
+    MAX_WORD_DISTANCE,
+    MIN_WORDS,
+    NOISE,
+    WORD_DEVIATIONS,
+    WORD_STEPS,
+)
 
 NEAR_DUPLICATES = r"""
 WITH RECURSIVE w AS (
@@ -18,6 +31,11 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.co
 """
 
 
+def _f(x: float) -> str:
+    """A literal that DuckDB reads as this very double."""
+    return f"{x!r}e0"
+
+
 def _quality() -> str:
     words = "[" + ", ".join(f"'{w}'" for w in _WORDS) + "]"
     chars = {k: v.replace("'", "''") for k, v in CLASSES.items()}
@@ -37,11 +55,22 @@ share AS (SELECT doc_id, lang, kind, i, x / nullif(sum(x) OVER (PARTITION BY doc
 js AS (SELECT doc_id, share.lang AS own, ref.lang, share.kind, round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)), 6) AS far
        FROM share JOIN ref ON share.kind = ref.kind AND share.i = ref.i WHERE p IS NOT NULL GROUP BY doc_id, share.lang, ref.lang, share.kind),
 far AS (SELECT doc_id, kind, coalesce(max(js.far) FILTER (WHERE own = lang), min(js.far)) AS far FROM js GROUP BY doc_id, kind),
-j AS (SELECT f.doc_id, n AS n_words, chars AS word_chars, symbol AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, c.far AS class_distance, w.far AS word_distance
-      FROM f LEFT JOIN rep ON f.doc_id = rep.doc_id LEFT JOIN far c ON f.doc_id = c.doc_id AND c.kind = 'c' LEFT JOIN far w ON f.doc_id = w.doc_id AND w.kind = 'w')
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words >= {MIN_WORDS} AND (coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE} OR coalesce(word_distance, 0) > {MAX_WORD_DISTANCE})) AS kept FROM j
-""".replace("f.doc_id, n AS n_words", "f.doc_id, f.n AS n_words")
+j AS (SELECT f.doc_id, f.lang, f.n AS n_words, chars AS word_chars, symbol AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, c.far AS class_distance, w.far AS word_distance,
+        CASE WHEN f.lang IN (SELECT lang FROM ref) THEN f.lang ELSE '' END AS g, length(bin(greatest(f.n, 1))) - 1 AS len
+      FROM f LEFT JOIN rep ON f.doc_id = rep.doc_id LEFT JOIN far c ON f.doc_id = c.doc_id AND c.kind = 'c' LEFT JOIN far w ON f.doc_id = w.doc_id AND w.kind = 'w'),
+u AS (SELECT DISTINCT g, len, n_words AS n, class_distance AS c, word_distance AS w FROM j WHERE n_words >= {MIN_WORDS}),
+x AS (SELECT g, len, 'c' AS kind, floor(c * {_f(CLASS_STEPS)} + 0.5e0)::BIGINT AS x FROM u WHERE c IS NOT NULL UNION ALL SELECT g, len, 'w', floor(w * sqrt(n::DOUBLE) * {_f(WORD_STEPS)} + 0.5e0)::BIGINT FROM u WHERE w IS NOT NULL),
+seen AS (SELECT g, len, kind, x, sum(count(*)) OVER (PARTITION BY g, len, kind ORDER BY x) AS seen, sum(count(*)) OVER (PARTITION BY g, len, kind) AS total FROM x GROUP BY g, len, kind, x),
+spread AS (SELECT g, len, kind, (min(x) FILTER (WHERE 2 * seen >= total))::DOUBLE AS mid, (min(x) FILTER (WHERE 4 * seen >= total))::DOUBLE AS low, max(total) AS n FROM seen GROUP BY g, len, kind),
+lim AS (SELECT g, len, c.mid / {_f(CLASS_STEPS)} AS c0, {_f(CLASS_DEVIATIONS)} * ((c.mid / {_f(CLASS_STEPS)} - c.low / {_f(CLASS_STEPS)}) / 0.6745e0) AS c1,
+               w.mid / {_f(WORD_STEPS)} + {_f(WORD_DEVIATIONS)} * greatest((w.mid / {_f(WORD_STEPS)} - w.low / {_f(WORD_STEPS)}) / 0.6745e0, {_f(NOISE)}) AS w0
+        FROM spread c JOIN spread w USING (g, len) WHERE c.kind = 'c' AND w.kind = 'w' AND least(c.n, w.n) >= {LEAST_DOCUMENTS}),
+most AS (SELECT j.*, coalesce(least(c0 + greatest(c1, {_f(CLASS_DEVIATIONS * NOISE)} / sqrt(n_words::DOUBLE)), {_f(MAX_CLASS_DISTANCE)}), {_f(MAX_CLASS_DISTANCE)}) AS most_c,
+                coalesce(least(w0 / sqrt(least(n_words::DOUBLE, pow(2.0e0, lim.len + 1))), {_f(MAX_WORD_DISTANCE)}), {_f(MAX_WORD_DISTANCE)}) AS most_w
+         FROM j ASOF LEFT JOIN lim ON j.g = lim.g AND j.len >= lim.len)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words >= {MIN_WORDS} AND (coalesce(class_distance, 0) > most_c OR coalesce(word_distance, 0) > most_w)) AS kept, class_distance, word_distance FROM most
+"""
 
 
 CHAT = rf"""

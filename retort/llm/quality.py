@@ -2,8 +2,10 @@
 
 A text's character classes and common words are counted and held against the reference of its language with
 the Jensen-Shannon distance (base 2, so 0 to 1). The references are the counts over all documents of the language.
-The largest distances allowed are fixed, or come from the distances of all documents of the language, by length.
+The largest distances allowed come from the distances of all documents of the language, by length.
 Short texts have noisy histograms, so below a number of words only the base rules decide.
+
+The texts are read once: counts of every row are written out, and the references, the limits and the verdicts come from those.
 """
 
 from __future__ import annotations
@@ -35,8 +37,12 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
 CLASS_DEVIATIONS, WORD_DEVIATIONS, NOISE = 6.0, 4.5, 0.3
 #: Fewer different documents of a language and length (in powers of two of words): the limits are those of the next shorter.
 LEAST_DOCUMENTS = 30
+#: Distances, and word distances times sqrt(words), are counted in steps of one over these.
+CLASS_STEPS, WORD_STEPS = 1000.0, 100.0
 _LENGTHS = 40
 
+#: What is counted of each row.
+COUNTED = ("n_words", "word_chars", "dup_lines", "repeat", *CLASSES, "classes", "common")
 _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 
 
@@ -97,7 +103,7 @@ def _once(frame: DataFrame, value: Column, name: str) -> DataFrame:
     return frame.select("*", F.explode(F.array(value)).alias(name))
 
 
-def features(docs: DataFrame, repeats: bool = True) -> DataFrame:
+def features(docs: DataFrame) -> DataFrame:
     """Adds the struct ``f``: base counts, character-class histogram and common-word histogram of ``text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = _once(docs, words_of(F.col("text").cast("string")), "f_words")
@@ -107,15 +113,15 @@ def features(docs: DataFrame, repeats: bool = True) -> DataFrame:
         "n_words": F.size("f_words").cast("long"),
         "word_chars": F.length(F.array_join("f_words", "")).cast("long"),
         "hits": F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")),
+        "dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "repeat": repeated_words(F.col("f_words")),
     } | {name: _count_class(text, chars) for name, chars in CLASSES.items()}
-    if repeats:
-        fields |= {"dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"), "repeat": repeated_words(F.col("f_words"))}
     base = _once(split, F.struct(*[c.alias(n) for n, c in fields.items()]), "f_base").drop("f_words")
     length = F.length(F.col("f_base.hits"))
     counted = F.array(*[((length - F.length(F.replace("f_base.hits", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("double") for w in _WORDS])
     classes = [F.col(f"f_base.{c}").cast("double") for c in CLASSES]
     other = F.greatest(F.col("f_base.word_chars").cast("double") - sum(classes[1:], classes[0]), F.lit(0.0))
-    kept = [F.col(f"f_base.{n}").alias(n) for n in fields if n != "hits"]
+    kept = [F.col(f"f_base.{n}").alias(n) for n in COUNTED if n in fields]
     return _once(base, F.struct(*kept, F.array(*classes, other).alias("classes"), counted.alias("common")), "f").drop("f_base")
 
 
@@ -124,21 +130,15 @@ def _with_rest(common: Column, total: Column) -> Column:
     return F.concat(common, F.array(F.greatest(total.cast("double") - F.aggregate(common, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
-def _histograms(docs: DataFrame) -> DataFrame:
-    """(lang, n_words, classes, common) of every row."""
-    f = features(docs.select("text", "lang"), repeats=False)
-    return f.select("lang", F.col("f.n_words").alias("n_words"), F.col("f.classes").alias("classes"), F.col("f.common").alias("common"))
-
-
 def language_references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """For each language of COMMON_WORDS with any text: (character-class shares, common-word shares) over all its documents.
 
     One aggregation with a partial sum in each task; at most one row a language reaches the driver.
     """
     n_classes, n_common = len(CLASSES) + 1, len(_WORDS)
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(n_common)]
+    sums = [F.sum(F.col("f_classes")[i]).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.col("f_common")[i]).alias(f"w{i}") for i in range(n_common)]
     found = {}
-    for row in counted.where(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(F.sum("n_words").alias("n"), *sums).collect():
+    for row in counted.where(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(F.sum("f_n_words").alias("n"), *sums).collect():
         classes = [row[f"c{i}"] for i in range(n_classes)]
         common = [row[f"w{i}"] for i in range(n_common)]
         common.append(max(0.0, row["n"] - sum(common)))
@@ -176,44 +176,47 @@ def _nearest(counts: str, references: dict[str, tuple[list[float], list[float]]]
 
 def _length(n_words: Column) -> Column:
     """The power of two that a number of words has reached."""
-    return F.least(F.floor(F.log2(F.greatest(n_words, F.lit(1)))), F.lit(_LENGTHS - 1)).cast("int")
+    return F.length(F.bin(F.greatest(n_words, F.lit(1)))) - 1
 
 
-def _spread(counts: dict[float, int]) -> tuple[float, float, int]:
-    """(median, deviation of the lower half, number) of values with counts; the deviation is that of a normal curve."""
+def _spread(counts: dict[int, int], steps: float) -> tuple[float, float, int]:
+    """(median, deviation of the lower half, number) of values counted in whole steps; the deviation is that of a normal curve."""
     total, seen, quarter = sum(counts.values()), 0, None
-    for value in sorted(counts):
-        seen += counts[value]
+    for step in sorted(counts):
+        seen += counts[step]
         if quarter is None and 4 * seen >= total:
-            quarter = value
+            quarter = step / steps
         if 2 * seen >= total:
-            return value, (value - quarter) / 0.6745, total
+            return step / steps, (step / steps - quarter) / 0.6745, total
     return 0.0, 0.0, 0
 
 
-def distance_limits(counted: DataFrame, references: dict[str, tuple[list[float], list[float]]]) -> dict[str, list[tuple[float, float, float, float, float]]]:
+def distance_limits(judged: DataFrame, references: dict[str, tuple[list[float], list[float]]]) -> dict[str, list[tuple[float, float, float, float, float]]]:
     """For each language with a reference, and "" for all others: limits by power of two of words.
 
     (class median, class deviations allowed, those of noise times sqrt(words), word limit times sqrt(words), most words to divide by).
-    Word distances fall as 1 / sqrt(words), so they are compared times that. Documents that are equal in all counts
+    Word distances fall as 1 / sqrt(words), so they are compared times that. Documents that are equal in length and distances
     count once, so copies don't narrow the limits. Histograms of rounded distances reach the driver: languages with a
     reference, lengths and steps of 0.01 or 0.001, however many documents there are.
     """
     if not references:
         return {}
     group = F.when(F.col("lang").isin(list(references)), F.col("lang")).otherwise("").alias("lang")
-    whole = _once(counted.where(F.col("n_words") >= MIN_WORDS), _with_rest(F.col("common"), F.col("n_words")), "f_all")
-    far = whole.select(group, "n_words", _nearest("classes", references, 0).alias("c"), _nearest("f_all", references, 1).alias("w")).distinct()
-    values = F.array(F.struct(F.lit(0).alias("which"), F.round("c", 3).alias("value")), F.struct(F.lit(1).alias("which"), F.round(F.col("w") * F.sqrt("n_words"), 2).alias("value")))
+    n_words = F.col("f_n_words")
+    far = judged.where(n_words >= MIN_WORDS).select(group, n_words.alias("n_words"), F.col("f_far.c").alias("c"), F.col("f_far.w").alias("w")).distinct()
+    values = F.array(
+        F.struct(F.lit(0).alias("which"), F.floor(F.col("c") * CLASS_STEPS + 0.5).alias("value")),
+        F.struct(F.lit(1).alias("which"), F.floor(F.col("w") * F.sqrt("n_words") * WORD_STEPS + 0.5).alias("value")),
+    )
     rows = far.select("lang", _length(F.col("n_words")).alias("length"), F.inline(values)).where("value is not null").groupBy("lang", "length", "which", "value").count().collect()
-    counts: dict[tuple, dict[float, int]] = defaultdict(dict)
+    counts: dict[tuple, dict[int, int]] = defaultdict(dict)
     for r in rows:
         counts[r["lang"], r["length"], r["which"]][r["value"]] = r["count"]
     out = {}
     for lang in [*references, ""]:
         limit, limits = (MAX_CLASS_DISTANCE, 0.0, 0.0, MAX_WORD_DISTANCE, 1.0), []
         for length in range(_LENGTHS):
-            c, w = (_spread(counts[lang, length, which]) for which in (0, 1))
+            c, w = _spread(counts[lang, length, 0], CLASS_STEPS), _spread(counts[lang, length, 1], WORD_STEPS)
             if min(c[2], w[2]) >= LEAST_DOCUMENTS:
                 limit = (c[0], CLASS_DEVIATIONS * c[1], CLASS_DEVIATIONS * NOISE, w[0] + WORD_DEVIATIONS * max(w[1], NOISE), 2.0 ** (length + 1))
             limits.append(limit)
@@ -242,38 +245,35 @@ def _allowed(limits: dict[str, list[tuple[float, float, float, float, float]]],
     )
 
 
-def quality(docs: DataFrame, carry: tuple[str, ...] = (), by_distribution: bool = False) -> DataFrame:
+def quality(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance) of every row.
 
     ``docs`` has doc_id, text and lang; null text counts as empty, so it has no words and fails the base rules.
     A null or other lang is held against the nearest of all references. Distances are rounded to six places and null
     where there is no reference or nothing to count, which rejects nothing. Rows that repeat are judged alike.
-    Without ``by_distribution`` the limits are MAX_CLASS_DISTANCE and MAX_WORD_DISTANCE at every length, as in the SQL of
-    op2_distribution_quality; no text is so far by its common words alone. With it they are those of ``distance_limits``.
-    ``carry`` names columns to return as well, packed into one struct ``row``, so their names may be any.
+    The limits are those of ``distance_limits``. ``carry`` names columns to return as well, packed into one struct
+    ``row``, so their names may be any.
     """
-    packed = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
-    docs = docs.select("doc_id", "text", "lang", *packed)
-    # Kept for the limits, so that these take no further pass over the texts.
-    counted = cut_lineage(_histograms(docs)) if by_distribution else _histograms(docs.where(F.col("lang").isin(list(COMMON_WORDS))))
+    packed = ["row"] if carry else []
+    docs = docs.select("doc_id", "text", "lang", *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []))
+    counted = cut_lineage(features(docs).select("doc_id", "lang", *[F.col(f"f.{n}").alias(f"f_{n}") for n in COUNTED], *packed))
     references = language_references(counted)
-    limits = distance_limits(counted, references) if by_distribution else {}
-    rows = features(docs).withColumn("f_all", _with_rest(F.col("f.common"), F.col("f.n_words")))
-    distances = F.struct(_nearest("f.classes", references, 0).alias("c"), _nearest("f_all", references, 1).alias("w"))
-    judged = _once(rows, distances, "f_far")
-    failed = (F.col("f.n_words") < 20) | (100 * F.col("f.repeat") > 30 * F.col("f.n_words"))
-    most_c, most_w = _allowed(limits, F.col("f.n_words")) if limits else (F.lit(MAX_CLASS_DISTANCE), F.lit(MAX_WORD_DISTANCE))
-    odd = (F.col("f.n_words") >= MIN_WORDS) & ((F.coalesce("f_far.c", F.lit(0.0)) > most_c) | (F.coalesce("f_far.w", F.lit(0.0)) > most_w))
+    whole = _once(counted, _with_rest(F.col("f_common"), F.col("f_n_words")), "f_all")
+    judged = _once(whole, F.struct(_nearest("f_classes", references, 0).alias("c"), _nearest("f_all", references, 1).alias("w")), "f_far").drop("f_all")
+    limits = distance_limits(judged.drop(*packed), references)
+    failed = (F.col("f_n_words") < 20) | (100 * F.col("f_repeat") > 30 * F.col("f_n_words"))
+    most_c, most_w = _allowed(limits, F.col("f_n_words")) if limits else (F.lit(MAX_CLASS_DISTANCE), F.lit(MAX_WORD_DISTANCE))
+    odd = (F.col("f_n_words") >= MIN_WORDS) & ((F.coalesce("f_far.c", F.lit(0.0)) > most_c) | (F.coalesce("f_far.w", F.lit(0.0)) > most_w))
     return judged.select(
         "doc_id",
-        F.col("f.n_words").alias("n_words"),
-        F.col("f.word_chars").alias("word_chars"),
-        F.col("f.symbol").alias("n_symbols"),
-        F.col("f.dup_lines").alias("n_dup_lines"),
-        F.col("f.repeat").alias("n_repeat_words"),
+        F.col("f_n_words").alias("n_words"),
+        F.col("f_word_chars").alias("word_chars"),
+        F.col("f_symbol").alias("n_symbols"),
+        F.col("f_dup_lines").alias("n_dup_lines"),
+        F.col("f_repeat").alias("n_repeat_words"),
         failed.alias("base_failed"),
         (~failed & ~odd).alias("kept"),
         F.col("f_far.c").alias("class_distance"),
         F.col("f_far.w").alias("word_distance"),
-        *(["row"] if carry else []),
+        *packed,
     )
