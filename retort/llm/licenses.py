@@ -1,31 +1,42 @@
 """Licence scans: a paragraph classifier over hashed word n-grams, confirmed against templates.
 
 A softmax regression over sparse one- and two-word features tells licence families and an unknown class apart. It is
-trained here on notices and clauses of the families, cut and thinned in many ways, and on a bounded sample of the
-corpus as unknown. Its probabilities are calibrated with a temperature on held-out examples, and the probability that
-a family needs is the least at which no more than a set share of held-out unknown paragraphs pass. A prediction is
-confirmed if enough of the paragraph's word trigrams stand in the family's templates.
+trained here on notices and on the licences' texts (``licence_texts``: the standard texts, but chosen paragraphs only of
+the AGPL, whose other text is the GPL's, and of CC BY, BY-SA and BY-NC), cut and thinned in many ways, and on a bounded
+sample of the corpus as unknown. Its probabilities are calibrated with a temperature on held-out examples, and the
+probability that a family needs is the least, from a half on, at which no more than a set share of held-out unknown
+paragraphs are taken for a family and confirmed.
+
+A long paragraph is classified in windows as well, so that a notice within it is found. A prediction is confirmed if
+enough of the text's word trigrams stand in the family's templates, one of them in no other's, or nearly all of one
+template stand in the text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.textbatch import NEWLINE, Slice, map_batches, mix, text_slices
+from retort.llm.textbatch import NEWLINE, Slice, gather, map_batches, mix, text_slices
 
 UNKNOWN = "unknown"
 BINS_LOG = 15
-#: Bound of the sample of the corpus that stands for the unknown class, in documents.
-UNKNOWN_SAMPLE = 200
-#: Share of held-out unknown paragraphs that may pass as a family, and of a paragraph's trigrams in the templates.
-FALSE_SHARE, CONFIRM_SHARE = 0.001, 0.5
-EPOCHS = 30
+#: Bound of the sample of the corpus that stands for the unknown class: documents, and paragraphs of them.
+UNKNOWN_SAMPLE, UNKNOWN_PARAGRAPHS = 200, 2000
+#: Share of held-out unknown paragraphs that may be taken for a family and confirmed.
+FALSE_SHARE = 0.001
+#: Least share of a text's trigrams in the templates, or of a template's in the text, and least trigrams of such a template.
+CONFIRM_SHARE, CONTAINED_SHARE, CONTAINED_TRIGRAMS = 0.5, 0.9, 3
+#: Paragraphs of more than LONG words are also taken in windows of WINDOW words, one every STRIDE.
+LONG, WINDOW, STRIDE = 32, 24, 12
+EPOCHS, BATCH = 24, 64
 
 # Names that notices give the families, and sentences of the licences' texts.
 NAMES = {
@@ -52,31 +63,20 @@ NOTICES = (
     "License: {}",
     "You may use this file under {}.",
 )
-CLAUSES = {
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    "apache-2.0": (
-        "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind, either express or implied.",
-    ),
-    "gpl": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
-        "You should have received a copy of the GNU General Public License along with this program.",
-    ),
-    "lgpl": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",),
-    "agpl": ("You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    ),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",),
-    "cc-by": ("You must give appropriate credit, provide a link to the license, and indicate if changes were made.",),
-    "cc-by-sa": ("If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original.",),
-    "cc-by-nc": ("You may not use the material for commercial purposes.",),
-    "cc0": ("The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide.",),
+# The files with the texts of each family.
+TEXTS = {
+    "mit": ("mit",),
+    "apache-2.0": ("apache-2.0",),
+    "gpl": ("gpl-2", "gpl-3"),
+    "lgpl": ("lgpl-2.1", "lgpl-3"),
+    "agpl": ("agpl-3",),
+    "bsd": ("bsd",),
+    "mpl-2.0": ("mpl-2.0",),
+    "isc": ("isc",),
+    "cc-by": ("cc-by",),
+    "cc-by-sa": ("cc-by-sa",),
+    "cc-by-nc": ("cc-by-nc",),
+    "cc0": ("cc0",),
 }
 #: Everyday sentences with words of licences, as unknown.
 DISTRACTORS = (
@@ -88,6 +88,14 @@ DISTRACTORS = (
     "The general public was free to use the library at any time without charge.",
     "This work is dedicated to the memory of the author.",
     "A warranty of two years covers all parts of the software and the machine.",
+    "By using this website you accept the terms of service and the privacy policy of the company.",
+    "All rights reserved. No part of this book may be copied without permission of the publisher.",
+    "The contract ends if either party breaks its conditions and does not put this right within thirty days.",
+    "The seller is not liable for any damage that arises from the use of the product.",
+    "Members may copy and share the recipes with friends for any purpose they like.",
+    "The city grants each holder of a permit the right to park in the old town.",
+    "Copyright 2019 by the authors. Printed in the north of the country.",
+    "The court held that the conditions of the agreement did not apply to later versions of the work.",
 )
 
 _between = np.ones(256, bool)
@@ -113,17 +121,25 @@ class Paragraphs:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """(paragraph, bin) of every word and of every two neighbouring words, in order of paragraphs."""
-        pairs = mix(self.hashes[:-1] * np.uint64(3) + mix(self.hashes[1:]))
-        inside = self.row[1:] == self.row[:-1] if len(self.row) else np.zeros(0, bool)
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(paragraph, first word, words) of what is classified: every paragraph, then the windows of long ones, the last at the end."""
+        long = np.flatnonzero(self.count > LONG)
+        steps = -(-(self.count[long] - WINDOW) // STRIDE) + 1
+        owner = np.repeat(long, steps)
+        step = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)
+        first = self.first[owner] + np.minimum(step * STRIDE, self.count[owner] - WINDOW)
+        return np.concatenate([np.arange(len(self)), owner]), np.concatenate([self.first, first]), np.concatenate([self.count, np.full(len(owner), WINDOW)])
+
+    def features(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(span, bin) of every word and of every two neighbouring words of the spans."""
         shift = np.uint64(64 - BINS_LOG)
-        rows = np.concatenate([self.row, self.row[:-1][inside]])
-        bins = np.concatenate([(self.hashes >> shift).astype(np.int64), (pairs[inside] >> shift).astype(np.int64)])
-        return rows, bins
+        single = (self.hashes >> shift).astype(np.int64)
+        pairs = (mix(self.hashes[:-1] * np.uint64(3) + mix(self.hashes[1:])) >> shift).astype(np.int64)
+        rows = np.arange(len(first))
+        return np.concatenate([np.repeat(rows, count), np.repeat(rows, count - 1)]), np.concatenate([gather(single, first, count), gather(pairs, first, count - 1)])
 
-    def trigrams(self, i: int) -> set[int]:
-        own = self.hashes[self.first[i] : self.first[i] + self.count[i]]
+    def trigrams(self, first: int, count: int) -> set[int]:
+        own = self.hashes[first : first + count]
         if len(own) < 3:
             return {int(mix(own.sum(dtype=np.uint64, keepdims=True))[0])}
         return set(mix(own[:-2] * np.uint64(3) + mix(own[1:-1] * np.uint64(5) + mix(own[2:]))).tolist())
@@ -136,18 +152,28 @@ class LicenseModel:
     bias: np.ndarray
     temperature: float
     threshold: float
-    templates: dict[str, set[int]]
+    whole: dict[str, set[int]]  # trigrams of all templates of a family
+    each: dict[str, list[set[int]]]  # of each that may be contained in a text
 
-    def logits(self, found: Paragraphs) -> np.ndarray:
-        rows, bins = found.features()
-        sums = np.zeros((len(found), len(self.families)))
+    def logits(self, rows: np.ndarray, bins: np.ndarray, spans: int) -> np.ndarray:
+        sums = np.zeros((spans, len(self.families)))
         for k in range(len(self.families)):
-            sums[:, k] = np.bincount(rows, self.weights[bins, k], len(found))
-        size = np.maximum(np.bincount(rows, minlength=len(found)), 1)
+            sums[:, k] = np.bincount(rows, self.weights[bins, k], spans)
+        size = np.maximum(np.bincount(rows, minlength=spans), 1)
         return sums / np.sqrt(size)[:, None] + self.bias
 
-    def probabilities(self, found: Paragraphs) -> np.ndarray:
-        return _softmax(self.logits(found) / self.temperature)
+    def probabilities(self, found: Paragraphs, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return _softmax(self.logits(*found.features(first, count), len(first)) / self.temperature)
+
+    def confirmation(self, grams: set[int], family: str) -> tuple[float, bool]:
+        """(larger of the share of a text's trigrams in the templates and that of a template's in the text, whether it suffices).
+
+        A share in the templates suffices only with a trigram that no other family's templates have.
+        """
+        inside = len(grams & self.whole[family]) / len(grams)
+        around = max((len(grams & t) / len(t) for t in self.each[family] if len(t) <= len(grams)), default=0.0)
+        own = inside >= CONFIRM_SHARE and bool((grams & self.whole[family]).difference(*[t for f, t in self.whole.items() if f != family]))
+        return max(inside, around), own or around >= CONTAINED_SHARE
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -160,65 +186,103 @@ def _paragraphs(texts: list[str]) -> Paragraphs:
     return Paragraphs(part)
 
 
-def examples(unknown: list[str]) -> tuple[list[str], list[str]]:
-    """Training paragraphs and their families, made in a fixed order."""
+def template_paragraphs(family: str) -> list[str]:
+    """The blocks of the family's texts between blank lines, each as one line."""
+    folder = resources.files("retort.llm") / "licence_texts"
+    blocks = [x for name in TEXTS[family] for x in re.split(r"\n\s*\n", (folder / f"{name}.txt").read_text())]
+    return [x for x in (" ".join(b.split()) for b in blocks) if re.search(r"[A-Za-z0-9]", x)]
+
+
+def templates() -> dict[str, list[str]]:
+    """Notices and paragraphs of each family. A paragraph that an earlier family has for the most part is that one's."""
+    out, before = {}, set()
+    for name, aliases in NAMES.items():
+        own = template_paragraphs(name)
+        found = _paragraphs(own)
+        grams = [found.trigrams(found.first[i], found.count[i]) for i in range(len(found))]
+        fresh = [x for x, g in zip(own, grams, strict=True) if len(g & before) < 0.5 * len(g)]
+        before.update(*grams)
+        out[name] = [*(n.format(a) for n in NOTICES for a in aliases), *fresh]
+    return out
+
+
+def examples(unknown: list[str], known: dict[str, list[str]]) -> tuple[list[str], list[str]]:
+    """Training texts and their families, made in a fixed order: whole, thinned, pieces as of wrapped lines, and among other words."""
     rng = np.random.default_rng(5)
     texts, labels = [], []
-    for name, aliases in NAMES.items():
-        whole = [n.format(a) for n in NOTICES for a in aliases] + list(CLAUSES[name]) * 6
-        for text in whole:
+    for name, own in known.items():
+        for text in own:
             words = text.split()
-            texts.append(text), labels.append(name)
-            for _ in range(2):  # thinned, and with words around it
-                kept = [w for w in words if rng.random() > 0.1] or words
-                texts.append(" ".join(kept)), labels.append(name)
-            if unknown:
-                around = unknown[int(rng.integers(len(unknown)))].split()[:8]
-                texts.append(" ".join([*around, *words])), labels.append(name)
-    for text in [*DISTRACTORS * 4, *unknown]:
+            made = [text, " ".join([w for w in words if rng.random() > 0.1] or words)]
+            for _ in range(1 + len(words) // 20 if len(words) > 12 else 0):
+                low = int(rng.integers(len(words) - 8))
+                made.append(" ".join(words[low : low + int(rng.integers(8, 25))]))
+            if unknown and len(words) <= WINDOW:
+                for _ in range(4):  # as in a window of a longer paragraph
+                    around = unknown[int(rng.integers(len(unknown)))].split()[: max(2, WINDOW - len(words))]
+                    at = int(rng.integers(len(around) + 1))
+                    made.append(" ".join([*around[:at], *words, *around[at:]]))
+            texts += made
+            labels += [name] * len(made)
+    for text in [*DISTRACTORS * 6, *unknown]:
         texts.append(text), labels.append(UNKNOWN)
     return texts, labels
 
 
 def fit(unknown: list[str]) -> LicenseModel:
     """A calibrated model from the templates and sample paragraphs of no licence."""
-    texts, labels = examples(unknown)
+    known = templates()
+    texts, labels = examples(unknown, known)
     families = [*NAMES, UNKNOWN]
     target = np.array([families.index(x) for x in labels])
     found = _paragraphs(texts)
     if len(found) != len(texts):
         raise ValueError("a training paragraph has no word")
-    rows, bins = found.features()
+    rows, bins = found.features(found.first, found.count)
     order = np.argsort(rows, kind="stable")
     rows, bins = rows[order], bins[order]
     cuts = np.searchsorted(rows, np.arange(len(found) + 1))
+    size = np.diff(cuts)
     held = np.arange(len(texts)) % 5 == 4
     share = np.bincount(target[~held], minlength=len(families))
-    balance = len(target) / (len(families) * np.maximum(share, 1))
+    balance = np.minimum(len(target) / (len(families) * np.maximum(share, 1)), 4.0)
     weights, bias = np.zeros((1 << BINS_LOG, len(families))), np.zeros(len(families))
+    seen = np.full(weights.shape, 1e-6)  # sums of squared steps, by which later ones shrink
     rng = np.random.default_rng(9)
-    for epoch in range(EPOCHS):
-        rate = 0.5 / (1 + 0.2 * epoch)
-        for i in rng.permutation(np.flatnonzero(~held)).tolist():
-            own = bins[cuts[i] : cuts[i + 1]]
-            scale = 1 / np.sqrt(max(1, len(own)))
-            z = weights[own].sum(axis=0) * scale + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[target[i]] -= 1
-            step = rate * min(balance[target[i]], 4.0) * p
-            np.subtract.at(weights, own, step * scale)
-            bias -= 0.1 * step
-    templates: dict[str, set[int]] = {}
-    for name, aliases in NAMES.items():
-        known = _paragraphs([n.format(a) for n in NOTICES for a in aliases] + list(CLAUSES[name]))
-        templates[name] = set().union(*[known.trigrams(i) for i in range(len(known))])
-    model = LicenseModel(families, weights, bias, 1.0, 0.5, templates)
-    z, gold = model.logits(found)[held], target[held]
+    for _ in range(EPOCHS):
+        mixed = rng.permutation(np.flatnonzero(~held))
+        for low in range(0, len(mixed), BATCH):
+            chosen = mixed[low : low + BATCH]
+            own, of = gather(bins, cuts[chosen], size[chosen]), np.repeat(np.arange(len(chosen)), size[chosen])
+            scale = 1 / np.sqrt(size[chosen])
+            used, back = np.unique(own, return_inverse=True)
+            z = np.zeros((len(chosen), len(families)))
+            np.add.at(z, of, weights[own])
+            p = _softmax(z * scale[:, None] + bias)
+            p[np.arange(len(chosen)), target[chosen]] -= 1
+            p *= balance[target[chosen]][:, None]
+            slope = np.zeros((len(used), len(families)))
+            np.add.at(slope, back, (p * scale[:, None])[of])
+            seen[used] += slope**2
+            weights[used] -= 0.5 * slope / np.sqrt(seen[used])
+            bias -= 0.05 * p.mean(axis=0)
+    whole, each = {}, {}
+    for name, own in known.items():
+        paragraphs, every = _paragraphs(own), _paragraphs(template_paragraphs(name))
+        grams, all_grams = ([x.trigrams(x.first[i], x.count[i]) for i in range(len(x))] for x in (paragraphs, every))
+        whole[name], each[name] = set().union(*grams, *all_grams), [g for g in grams if len(g) >= CONTAINED_TRIGRAMS]
+    model = LicenseModel(families, weights, bias, 1.0, 0.5, whole, each)
+    z, gold = model.logits(rows, bins, len(found))[held], target[held]
     losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(gold)), gold], 1e-12)).mean() for t in np.geomspace(0.25, 8, 26).tolist()}
     model.temperature = min(losses, key=losses.get)
-    wrong = np.sort(1 - _softmax(z / model.temperature)[gold == len(families) - 1, -1])[::-1]
-    model.threshold = float(max(0.5, wrong[int(FALSE_SHARE * len(wrong))] if len(wrong) else 0.5))
+    p = _softmax(z / model.temperature)
+    passing = []  # probabilities at which held-out unknown paragraphs are taken for a family and confirmed
+    for i in np.flatnonzero(gold == len(families) - 1).tolist():
+        k, at = int(np.argmax(p[i, :-1])), int(np.flatnonzero(held)[i])
+        if model.confirmation(found.trigrams(found.first[at], found.count[at]), families[k])[1]:
+            passing.append(float(p[i, k]))
+    allowed = int(FALSE_SHARE * (gold == len(families) - 1).sum())
+    model.threshold = max(0.5, np.nextafter(sorted(passing, reverse=True)[allowed], 1.0)) if len(passing) > allowed else 0.5
     return model
 
 
@@ -232,15 +296,43 @@ def unknown_sample(docs: DataFrame, documents: int = UNKNOWN_SAMPLE) -> list[str
     found = _paragraphs(lines) if lines else None
     if found is None:
         return []
-    return [lines[i] for i in sorted({int(i) for i in found.text})][:2000]
+    return [lines[i] for i in sorted({int(i) for i in found.text})][:UNKNOWN_PARAGRAPHS]
+
+
+def _matches(machine: LicenseModel, found: Paragraphs, texts: int) -> list[list[dict]]:
+    """The matches of each text, by paragraph and family; of several windows of a paragraph the surest that is confirmed, else the surest."""
+    best: dict[tuple[int, str], dict] = {}
+    settled: set[int] = set()
+    if len(found):
+        owner, first, count = found.spans()
+        p = machine.probabilities(found, first, count)
+        top = np.argmax(p[:, :-1], axis=1)
+        sure = p[np.arange(len(top)), top]
+        begins = np.searchsorted(found.text, np.arange(texts))
+        for i in np.flatnonzero((sure >= machine.threshold) & (sure > p[:, -1])).tolist():
+            family, paragraph = machine.families[top[i]], int(owner[i])
+            alike, confirmed = machine.confirmation(found.trigrams(first[i], count[i]), family)
+            if paragraph in settled:
+                continue  # a window of a paragraph that is confirmed as a whole
+            match = {"paragraph": paragraph - int(begins[found.text[paragraph]]), "family": family, "probability": round(float(sure[i]), 6), "similarity": round(alike, 6), "confirmed": confirmed}
+            if confirmed and i < len(found):
+                settled.add(paragraph)
+            held = best.get((paragraph, family))
+            if held is None or (match["confirmed"], match["probability"]) > (held["confirmed"], held["probability"]):
+                best[paragraph, family] = match
+    out: list[list[dict]] = [[] for _ in range(texts)]
+    for paragraph, family in sorted(best):
+        out[found.text[paragraph]].append(best[paragraph, family])
+    return out
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """(doc_id, n_paragraphs, families, n_confirmed, matches) of every row.
 
-    Paragraphs are lines with a letter or digit. matches lists those predicted as a family: their number from 0 among
-    such lines, family, calibrated probability, share of trigrams in the templates, and whether that confirms it.
-    families is the sorted list of confirmed ones. Null and empty texts have no paragraphs.
+    Paragraphs are lines with a letter or digit. matches lists, for each paragraph and each family that it or a window of
+    it is taken for: its number from 0 among such lines, family, calibrated probability, similarity to the templates, and
+    whether that confirms it. families is the sorted list of confirmed ones, n_confirmed the number of confirmed matches.
+    Null and empty texts have no paragraphs.
     """
     model = model or fit(unknown_sample(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -250,17 +342,8 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
         for batch in batches:
             for part in text_slices(batch.column("text")):
                 found = Paragraphs(part)
-                matches: list[list[dict]] = [[] for _ in range(len(part))]
                 total = np.bincount(found.text, minlength=len(part))
-                start = np.searchsorted(found.text, np.arange(len(part)))
-                if len(found):
-                    p = machine.probabilities(found)
-                    best = np.argmax(p[:, :-1], axis=1)
-                    sure = p[np.arange(len(found)), best]
-                    for i in np.flatnonzero((sure >= machine.threshold) & (sure > p[:, -1])).tolist():
-                        family, grams = machine.families[best[i]], found.trigrams(i)
-                        alike = len(grams & machine.templates[family]) / len(grams)
-                        matches[found.text[i]].append({"paragraph": int(i - start[found.text[i]]), "family": family, "probability": round(float(sure[i]), 6), "similarity": round(alike, 6), "confirmed": alike >= CONFIRM_SHARE})
+                matches = _matches(machine, found, len(part))
                 confirmed = [[m["family"] for m in x if m["confirmed"]] for x in matches]
                 kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays(
