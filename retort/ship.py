@@ -28,7 +28,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, names in os.walk(_ROOT / "retort"):
             for name in sorted(names):
-                if name.endswith(".py"):
+                if name.endswith((".py", ".txt")):
                     full = Path(folder) / name
                     archive.write(full, full.relative_to(_ROOT))
     context.addPyFile(str(place))
