@@ -23,8 +23,8 @@ from retort.llm.textbatch import BLANKS, NEWLINE, Slice, map_batches, mix, text_
 from retort.session import cut_lineage
 
 SEGMENTS = 16
-#: Shorter lines (in code points) are matched for equality only.
-NEAR_CHARS = 20
+#: Where the longer of two lines has fewer code points, an edit is over a tenth of it: they are matched for equality only.
+NEAR_CHARS = 10
 #: Keys up to this number (16 MB) are broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 2_000_000
 
@@ -72,7 +72,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batch.column("text")):
             lines = Lines(part)
             at = pa.array(lines.text + part.rows[0], pa.int64())
-            near = np.flatnonzero(lines.size >= NEAR_CHARS)
+            near = np.flatnonzero(lines.size >= NEAR_CHARS - 1)
             row, key, _, _ = lines.segment_keys(near, 2)
             order = np.lexsort((key, row))
             row, key = row[order], key[order]
@@ -101,7 +101,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch.column("text")):
             lines = Lines(part)
-            rows = np.flatnonzero(lines.size >= NEAR_CHARS)
+            rows = np.flatnonzero(lines.size >= NEAR_CHARS - 1)
             row, key, _, _ = lines.segment_keys(rows, 2)
             order = np.argsort(row, kind="stable")
             row, key = row[order], key[order]
@@ -234,7 +234,7 @@ def near_line_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return cut_lineage(
         links.join(texts, ["h1", "h2"])
         .join(texts.select(F.col("h1").alias("lead_h1"), F.col("h2").alias("lead_h2"), F.col("line").alias("lead_line")), ["lead_h1", "lead_h2"])
-        .where(F.levenshtein("line", "lead_line", 1).between(0, 1))
+        .where(F.levenshtein("line", "lead_line", 1).between(0, 1) & (F.greatest(F.length("line"), F.length("lead_line")) >= NEAR_CHARS))
         .select("h1", "h2", "lead_h1", "lead_h2")
     )
 
@@ -242,7 +242,7 @@ def near_line_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, removed): for each text that loses lines, their numbers from 0, in order.
 
-    A line with a word goes if an earlier line of any document is equal to it or, where both have NEAR_CHARS code points
+    A line with a word goes if an earlier line of any document is equal to it or, where the longer has NEAR_CHARS code points
     or more, within one edit (insertion, deletion or substitution of a code point). Earlier is by doc_id (null first), then a hash of the
     text, then the line's number; whether the earlier line itself goes makes no difference. Rows with the same doc_id
     and text are one document and lose the same lines. Lines without a word are never touched.
