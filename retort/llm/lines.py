@@ -8,6 +8,9 @@ Either kind of group is star-shaped around its earliest line, so groups of any s
 Emitting such keys for every line would multiply the corpus by its line length. Two exact screens come first: lines
 one edit apart agree on all but one segment when cut into a few segments counted from both ends. Only lines that share
 what is left without one half, and then without one of SEGMENTS, emit variants, and only for characters of that segment.
+
+The texts are worked through once: hashes of every line are written out, and all but the texts of the lines that pass the
+first screen comes from those.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.textbatch import BLANKS, NEWLINE, Slice, map_batches, mix, text_slices
+from retort.llm.textbatch import BLANKS, Slice, map_batches, mix, seeds, text_slices
 from retort.session import cut_lineage
 
 SEGMENTS = 16
@@ -27,28 +30,48 @@ SEGMENTS = 16
 NEAR_CHARS = 10
 #: Keys up to this number (16 MB) are broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 2_000_000
+#: Lines looked up again up to this number (some 30 MB with their places) are broadcast to the documents.
+BROADCAST_LINES = 500_000
+
+
+_sum_table = seeds(256, 13)
+_sum_table[0x0A] = 0
 
 
 class Lines:
     """The lines with a word of a slice, as byte and code-point ranges, with hashes of any code-point range."""
 
     def __init__(self, part: Slice):
-        data = part.data
-        starts, ends = part.words(NEWLINE)
-        filled = np.concatenate([[0], np.cumsum(~BLANKS[data])])
-        some = filled[ends] > filled[starts]
-        self.part, self.starts, self.ends = part, starts[some], ends[some]
-        self.text = part.owner(self.starts)
-        breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-        self.number = breaks[self.starts] - breaks[part.offsets[self.text]]
-        head = (data & 0xC0) != 0x80
-        before = np.concatenate([[0], np.cumsum(head)])
-        self.bytes_at = np.append(np.flatnonzero(head), len(data))
-        self.first, self.last = before[self.starts], before[self.ends]
+        data, offsets = part.data, np.asarray(part.offsets)
+        breaks = np.flatnonzero(data == 0x0A)
+        starts, ends = np.sort(np.concatenate([offsets[:-1], breaks + 1])), np.sort(np.concatenate([breaks, offsets[1:]]))
+        filled = ends > starts
+        starts, ends = starts[filled], ends[filled]
+        if len(starts):
+            # up to the next line's start there are only line breaks
+            some = np.logical_or.reduceat(~BLANKS[data], starts)
+            sums = np.add.reduceat(_sum_table[data], starts)
+            starts, ends, sums = starts[some], ends[some], sums[some]
+        else:
+            sums = np.zeros(0, np.uint64)
+        self.part, self.starts, self.ends, self.sums = part, starts, ends, sums
+        self.text = part.owner(starts)
+        self.number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets)[self.text]
+        self.inner = np.flatnonzero((data & 0xC0) == 0x80)  # bytes that continue a code point
+        self.passed = self.inner - np.arange(len(self.inner))  # code points that begin before each
+        self.first, self.last = self.starts - np.searchsorted(self.inner, self.starts), self.ends - np.searchsorted(self.inner, self.ends)
         self.size = self.last - self.first
 
+    def bytes_at(self, points: np.ndarray) -> np.ndarray:
+        """Where the code points begin."""
+        return points + np.searchsorted(self.passed, points, side="right")
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each line: of its bytes in order, and of how often it has each."""
+        return self.part.hashes(self.starts, self.ends).view(np.int64), mix(self.sums + (self.ends - self.starts).astype(np.uint64)).view(np.int64)
+
     def range_hash(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return self.part.hashes(self.bytes_at[low], self.bytes_at[high])
+        return self.part.hashes(self.bytes_at(low), self.bytes_at(high))
 
     def segment_keys(self, rows: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, key, first and last code point of the segment) for each line without each of its segments.
@@ -81,44 +104,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, key = row[fresh], key[fresh]
             cuts = np.searchsorted(row, np.arange(len(lines.starts) + 1))
             halves = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(key.view(np.int64)))
+            h1, h2 = lines.hashes()
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(at),
-                    batch.column("text_hash").take(at),
-                    pa.array(lines.number, pa.int32()),
-                    pa.array(part.hashes(lines.starts, lines.ends).view(np.int64)),
-                    pa.array(part.hashes(lines.starts, lines.ends, "second").view(np.int64)),
-                    halves,
-                ],
-                names=["doc_id", "text_hash", "line_no", "h1", "h2", "halves"],
+                [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(lines.number, pa.int32()), pa.array(h1), pa.array(h2), halves], names=["doc_id", "text_hash", "line_no", "h1", "h2", "halves"]
             )
 
 
 OCCURRENCE = "doc_id long, text_hash long, line_no int, h1 long, h2 long, halves array<long>"
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in text_slices(batch.column("text")):
-            lines = Lines(part)
-            rows = np.flatnonzero(lines.size >= NEAR_CHARS - 1)
-            row, key, _, _ = lines.segment_keys(rows, 2)
-            order = np.argsort(row, kind="stable")
-            row, key = row[order], key[order]
-            cuts = np.searchsorted(row, rows)
-            halves = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(row)), pa.int32()), pa.array(key.view(np.int64)))
-            body = part.data.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part.hashes(lines.starts[rows], lines.ends[rows]).view(np.int64)),
-                    pa.array(part.hashes(lines.starts[rows], lines.ends[rows], "second").view(np.int64)),
-                    halves,
-                    pa.array([body[a:b].decode() for a, b in zip(lines.starts[rows].tolist(), lines.ends[rows].tolist(), strict=True)], pa.string()),
-                ],
-                names=["h1", "h2", "halves", "line"],
-            )
-
-
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h1, h2, key) of candidate lines without one of SEGMENTS."""
     for batch in batches:
@@ -193,24 +187,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def _lines_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, h2, first, line) of the wanted lines (h1, h2, first), read from the documents that have them first."""
+    unset = F.lit(-(2**63))
+    by_doc = wanted.groupBy(F.coalesce("first.doc_id", unset).alias("doc"), F.col("first.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("h1", "h2", "first")).alias("wanted"))
+    few = wanted.count() <= BROADCAST_LINES
+    rows = _keyed(docs).withColumn("doc", F.coalesce("doc_id", unset)).drop("doc_id").join(F.broadcast(by_doc) if few else by_doc, ["doc", "text_hash"])
+    split = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["first"].alias("first"), F.get(lines, w["first"]["line_no"]).alias("line"))))[0]
+    return cut_lineage(rows.select(F.inline(split)).dropDuplicates(["h1", "h2"]))
+
+
 def near_line_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2, lead_h1, lead_h2) of lines within one edit of an earlier line, one row for each such earliest line of a group.
 
-    ``firsts``: distinct lines (h1, h2) with their earliest occurrence ``first``.
+    ``firsts``: distinct lines (h1, h2) with their earliest occurrence ``first`` and the keys of their halves.
     """
-    keyed = _keyed(docs)
-    halves = map_batches(keyed, _occurrences, OCCURRENCE).select(F.explode("halves").alias("key"), "h1")
+    halves = firsts.select("h1", "h2", "first", F.explode("halves").alias("key"))
     shared = cut_lineage(halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key"))
     few = shared.count() <= BROADCAST_KEYS
-    texts = map_batches(keyed, _line_texts, "h1 long, h2 long, halves array<long>, line string").withColumn("key", F.explode("halves"))
-    likely = texts.join(F.broadcast(shared) if few else shared, "key", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    likely = cut_lineage(likely)
+    likely = cut_lineage(halves.join(F.broadcast(shared) if few else shared, "key", "left_semi").select("h1", "h2", "first").distinct())
+    likely = _lines_of(docs, likely)
 
     keys = map_batches(likely, _segments, "h1 long, h2 long, key long").distinct()
     keys = cut_lineage(keys)
     hot = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     mine = keys.join(hot, "key").groupBy("h1", "h2").agg(F.collect_set("key").alias("hot"))
-    candidates = cut_lineage(likely.join(mine, ["h1", "h2"]).join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
+    candidates = cut_lineage(likely.join(mine, ["h1", "h2"]))
 
     variants = map_batches(candidates.select("h1", "h2", "line", "hot"), _variants, VARIANT).distinct()
     placed = cut_lineage(variants.join(candidates.select("h1", "h2", "first"), ["h1", "h2"]).withColumn("group", (F.col("kind") > SAME_PLACE).cast("int")))
@@ -247,12 +249,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     text, then the line's number; whether the earlier line itself goes makes no difference. Rows with the same doc_id
     and text are one document and lose the same lines. Lines without a word are never touched.
     """
-    keyed = _keyed(docs)
-    occurrences = map_batches(keyed, _occurrences, OCCURRENCE).select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("at"))
-    firsts = cut_lineage(occurrences.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    found = cut_lineage(map_batches(_keyed(docs), _occurrences, OCCURRENCE))
+    occurrences = found.select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("at"), "halves")
+    firsts = cut_lineage(occurrences.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
     near = near_line_links(docs, firsts).select("h1", "h2").distinct().withColumn("near", F.lit(True))
     loses = cut_lineage(firsts.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = occurrences.join(loses, ["h1", "h2"]).where("near or not (at <=> first)")
+    gone = occurrences.drop("halves").join(loses, ["h1", "h2"]).where("near or not (at <=> first)")
     return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(F.sort_array(F.collect_set("at.line_no")).alias("removed"))
 
 
