@@ -47,8 +47,8 @@ _fold[:65] = 32
 _fold[91:97] = 32
 _fold[123:128] = 32
 
-# All 2**24 trigrams hash to BINS without a table: three small ones are mixed.
-_parts = (mix(np.arange(256, dtype=np.uint64) + np.uint64(7)), mix(np.arange(256, dtype=np.uint64) + np.uint64(1007)), mix(np.arange(256, dtype=np.uint64) + np.uint64(2007)))
+# All 2**24 trigrams hash to BINS without a table: three small ones, of the bytes as folded, are mixed.
+_parts = [(mix(np.arange(256, dtype=np.uint64) + np.uint64(salt)) >> np.uint64(50)).astype(np.int64)[_fold] for salt in (7, 1007, 2007)]
 
 
 def family(code: str) -> str:
@@ -57,11 +57,28 @@ def family(code: str) -> str:
 
 def trigram_bins(data: np.ndarray) -> np.ndarray:
     """Bin of the trigram at each byte but the last two. Case of letters beyond ASCII: their second UTF-8 bytes differ, which a few bins absorb."""
-    folded = _fold[data]
-    if len(folded) < 3:
+    if len(data) < 3:
         return np.zeros(0, np.int64)
-    mixed = _parts[0][folded[:-2]] ^ _parts[1][folded[1:-1]] ^ _parts[2][folded[2:]]
-    return (mixed >> np.uint64(50)).astype(np.int64)
+    bins = _parts[0][data[:-2]]
+    bins ^= _parts[1][data[1:-1]]
+    bins ^= _parts[2][data[2:]]
+    return bins
+
+
+def text_sums(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums of values[low:high] for ranges in order that don't overlap; 0 for empty ones."""
+    out = np.zeros(len(low))
+    some = np.flatnonzero(high > low)
+    if len(some):
+        edges = np.stack([low[some], high[some]], axis=1).ravel()
+        out[some] = np.add.reduceat(values, edges[:-1] if edges[-1] == len(values) else edges, dtype=np.float64)[::2]
+    return out
+
+
+def text_ranges(part: Slice, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's trigrams begin and end."""
+    low = np.minimum(part.offsets[:-1], len(bins))
+    return low, np.maximum(np.minimum(part.offsets[1:] - 2, len(bins)), low)
 
 
 @dataclass
@@ -71,69 +88,54 @@ class LanguageModel:
     languages: list[str]
     families: list[str]
     pairs: list[tuple[int, int]]
-    weights: np.ndarray  # (BINS, families + pairs)
+    weights: np.ndarray  # (families + pairs, BINS)
     bias: np.ndarray
-    usual: np.ndarray  # (BINS, languages): log2 of each trigram's share in a language's sample
+    usual: np.ndarray  # (languages, BINS): log2 of each trigram's share in a language's sample
     centre: np.ndarray  # by language: median of the sample's means of it, and the least of (mean - centre) * sqrt(trigrams)
     least: np.ndarray
     far: np.ndarray  # by language: the mean that a text with FOREIGN_SHARE of other text has
 
-    def foreign(self, part: Slice, named: list[str]) -> np.ndarray:
-        """Whether each text is too unlike the sample of the language that it was taken for, by the mean of ``usual``."""
-        bins = trigram_bins(part.data)
-        low = np.minimum(part.offsets[:-1], len(bins))
-        high = np.maximum(np.minimum(part.offsets[1:] - 2, len(bins)), low)
+    def foreign(self, part: Slice, bins: np.ndarray, named: np.ndarray) -> np.ndarray:
+        """Whether each text is too unlike the sample of the language (by number) that it was taken for, by the mean of ``usual``."""
+        low, high = text_ranges(part, bins)
         out = high == low
-        for k, code in enumerate(self.languages):
-            own = np.flatnonzero([n == code for n in named] & ~out)
-            if len(own):
-                sums = np.concatenate([[0.0], np.cumsum(self.usual[bins, k], dtype=np.float64)])
-                n = high[own] - low[own]
-                mean = (sums[high[own]] - sums[low[own]]) / n
-                out[own] = (mean < self.far[k]) & ((mean - self.centre[k]) * np.sqrt(np.minimum(n, STEADY_TRIGRAMS)) < self.least[k])
+        for k in range(len(self.languages)):
+            own = np.flatnonzero((named == k) & ~out)
+            n = high[own] - low[own]
+            mean = text_sums(self.usual[k][bins], low[own], high[own]) / n
+            out[own] = (mean < self.far[k]) & ((mean - self.centre[k]) * np.sqrt(np.minimum(n, STEADY_TRIGRAMS)) < self.least[k])
         return out
 
-    def scores(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """(mean margins of each text and machine, trigrams of each text)."""
-        bins = trigram_bins(part.data)
-        low = np.minimum(part.offsets[:-1], len(bins))
-        high = np.maximum(np.minimum(part.offsets[1:] - 2, len(bins)), low)
-        count = high - low
-        margins = np.zeros((len(part), self.weights.shape[1]))
-        if len(bins):
-            for m in range(self.weights.shape[1]):
-                sums = np.concatenate([[0.0], np.cumsum(self.weights[bins, m], dtype=np.float64)])
-                margins[:, m] = (sums[high] - sums[low]) / np.maximum(count, 1)
-        return margins + self.bias, count
-
-    def predict(self, part: Slice) -> tuple[list[str], np.ndarray]:
-        margins, _ = self.scores(part)
-        n_families = len(self.families)
-        best_family = np.argmax(margins[:, :n_families], axis=1) if n_families else np.zeros(len(part), int)
-        family_margin = margins[np.arange(len(part)), best_family] if n_families else np.zeros(len(part))
-        members = [[i for i, code in enumerate(self.languages) if family(code) == f] for f in self.families]
-        named, sure = [], np.zeros(len(part))
-        for row in range(len(part)):
-            own = members[best_family[row]]
-            votes = dict.fromkeys(own, 0)
-            strength = dict.fromkeys(own, 0.0)
-            closest = dict.fromkeys(own, 6.0)
-            for k, (a, b) in enumerate(self.pairs):
-                if a in votes:
-                    margin = margins[row, n_families + k]
-                    winner = a if margin >= 0 else b
-                    votes[winner] += 1
-                    strength[a] += margin
-                    strength[b] -= margin
-                    closest[winner] = min(closest[winner], abs(margin))
-            top = max(own, key=lambda i: (votes[i], strength[i], -i))
-            named.append(self.languages[top])
-            sure[row] = _certainty(family_margin[row] if n_families > 1 else 6.0) * _certainty(closest[top])
-        return named, sure
-
-
-def _certainty(margin: float) -> float:
-    return float(1.0 / (1.0 + np.exp(-3.0 * min(max(margin, -6.0), 6.0))))
+    def margins(self, part: Slice, bins: np.ndarray) -> np.ndarray:
+        """Mean margins of each text and machine."""
+        low, high = text_ranges(part, bins)
+        count = np.maximum(high - low, 1)
+        means = [text_sums(w[bins], low, high) / count for w in self.weights]
+        return np.stack(means, axis=1) + self.bias if means else np.zeros((len(part), 0))
+
+    def predict(self, part: Slice, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each text's language, score): the best family, then most votes of its pairs, then the larger sum of margins."""
+        n, n_families = len(part), len(self.families)
+        margins = self.margins(part, bins)
+        best = np.argmax(margins[:, :n_families], axis=1)
+        shape = (n, len(self.languages))
+        votes, strength, closest = np.zeros(shape), np.zeros(shape), np.full(shape, 6.0)
+        for k, (a, b) in enumerate(self.pairs):
+            margin = margins[:, n_families + k]
+            for side, won in ((a, margin >= 0), (b, margin < 0)):
+                votes[:, side] += won
+                strength[:, side] += margin if side == a else -margin
+                closest[:, side] = np.where(won, np.minimum(closest[:, side], np.abs(margin)), closest[:, side])
+        own = np.array([self.families.index(family(code)) for code in self.languages])
+        votes[own[None, :] != best[:, None]] = -1
+        top = np.argmax(np.where(votes == votes.max(axis=1, keepdims=True), strength, -np.inf), axis=1)
+        rows = np.arange(n)
+        of_family = margins[rows, best] if n_families > 1 else np.full(n, 6.0)
+        return top, _certainty(of_family) * _certainty(closest[rows, top])
+
+
+def _certainty(margin: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-3.0 * np.clip(margin, -6.0, 6.0)))
 
 
 def _train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[np.ndarray, float]:
@@ -170,7 +172,7 @@ def fit(texts: list[str], languages: list[str]) -> LanguageModel:
     for a, b in pairs:
         at = np.flatnonzero((label == a) | (label == b))
         machines.append(_train([rows[i] for i in at], np.where(label[at] == a, 1, -1)))
-    weights = np.stack([w for w, _ in machines], axis=1) if machines else np.zeros((BINS, 0))
+    weights = np.stack([w for w, _ in machines]) if machines else np.zeros((0, BINS))
     counts = [(bins, np.rint(share * n)) for (bins, share), n in zip(rows, [max(1, len(t.encode()) - 2) for t in texts], strict=True)]
     return LanguageModel(codes, families, pairs, weights.astype(np.float32), np.array([b for _, b in machines]), *_typical(counts, label, len(codes)))
 
@@ -185,11 +187,11 @@ def _usual(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def _typical(counts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, n_languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(usual, centre, least, far) of each language; centre and least from documents held against the others' trigrams only."""
-    usual, centre, least = np.zeros((BINS, n_languages)), np.zeros(n_languages), np.full(n_languages, -np.inf)
+    usual, centre, least = np.zeros((n_languages, BINS)), np.zeros(n_languages), np.full(n_languages, -np.inf)
     far = np.full(n_languages, -np.inf)
     for k in range(n_languages):
         own = [counts[i] for i in np.flatnonzero(label == k)]
-        usual[:, k] = _usual(own)
+        usual[k] = _usual(own)
         if len(own) < LEAST_CALIBRATED:
             continue
         means, sizes = [], []
@@ -203,7 +205,7 @@ def _typical(counts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, n_l
         centre[k] = np.median(means)
         off = (np.array(means) - centre[k]) * np.sqrt(np.minimum(sizes, STEADY_TRIGRAMS))
         least[k] = -REJECT_DEVIATIONS * max(float(np.median(np.abs(off))) * 1.4826, 1.0)
-        other = [float(usual[bins, k] @ n / n.sum()) for i, (bins, n) in enumerate(counts) if label[i] != k and n.sum()]
+        other = [float(usual[k][bins] @ n / n.sum()) for i, (bins, n) in enumerate(counts) if label[i] != k and n.sum()]
         unlike = float(np.median(other)) if len(other) >= LEAST_CALIBRATED else -float(np.log2(BINS))
         far[k] = centre[k] - FOREIGN_SHARE * max(centre[k] - unlike, 0.0)
     return usual.astype(np.float32), centre, least, far
@@ -212,14 +214,15 @@ def _typical(counts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, n_l
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = MOST_LANGUAGES) -> DataFrame:
     """(text, lang) of at most ``per_language`` documents of each of the ``most`` commonest languages.
 
-    The rows with the least hashes of doc_id and text; ranks are limited in each task before any shuffle, and only ids
-    and hashes move.
+    The rows with the least hashes of doc_id and text; rows that repeat count once. A language's rows are counted first,
+    and only those move whose hash is so low that about twice as many as wanted have one, however many there are.
     """
-    labelled = docs.where("text is not null and lang is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
-    ranked = labelled.join(F.broadcast(common), "lang", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = ranked.where(F.col("rank") <= per_language).select("h").distinct()
-    return docs.where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h", "lang"]).select("text", "lang")
+    labelled = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
+    highest = F.when(F.col("count") <= 2 * per_language, F.lit(2**63 - 1)).otherwise((F.lit(-(2.0**63)) + F.lit(2.0**64) * (2 * per_language) / F.col("count")).cast("long"))
+    low = labelled.join(F.broadcast(common.select("lang", highest.alias("highest"))), "lang").where("h <= highest").dropDuplicates(["lang", "h"])
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    return ranked.where(F.col("rank") <= per_language).select("text", "lang")
 
 
 def held_out() -> "F.Column":
@@ -251,15 +254,17 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
         for batch in batches:
             for part in text_slices(batch.column("_text")):
                 rows = slice(*part.rows)
-                named, sure = machine.predict(part) if machine.languages else ([UNDETERMINED] * len(part), np.zeros(len(part)))
+                bins = trigram_bins(part.data)
+                known = bool(machine.languages)
+                named, sure = machine.predict(part, bins) if known else (np.zeros(len(part), int), np.zeros(len(part)))
                 ascii_letter = ((part.data | 32) >= 97) & ((part.data | 32) <= 122)
-                sums = np.concatenate([[0], np.cumsum(ascii_letter)])
-                some = sums[part.offsets[1:]] > sums[part.offsets[:-1]]
+                some = text_sums(ascii_letter, part.offsets[:-1], part.offsets[1:]) > 0
                 for i in np.flatnonzero(~some).tolist():  # letters beyond ASCII are looked for only where none is in it
                     some[i] = bool(letter.search(part.data[part.offsets[i] : part.offsets[i + 1]].tobytes().decode()))
-                if reject and machine.languages:
-                    some = some & ~machine.foreign(part, named)
-                lang = [n if s else UNDETERMINED for n, s in zip(named, some.tolist(), strict=True)]
+                some &= known
+                if reject and known:
+                    some &= ~machine.foreign(part, bins, named)
+                lang = [machine.languages[k] if s else UNDETERMINED for k, s in zip(named.tolist(), some.tolist(), strict=True)]
                 columns = [batch.column(c)[rows] for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(np.where(some, sure, 0.0), pa.float64())], names=[*keep, "lang_pred", "score"])
 
