@@ -30,8 +30,8 @@ SEGMENTS = 16
 NEAR_CHARS = 10
 #: Keys up to this number (16 MB) are broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 2_000_000
-#: Lines looked up again up to this number (some 30 MB with their places) are broadcast to the documents.
-BROADCAST_LINES = 500_000
+#: Lines looked up again up to this number (some 20 MB with their places) are broadcast to the documents; beyond it the join shuffles.
+BROADCAST_LINES = 200_000
 
 
 _sum_table = seeds(256, 13)
