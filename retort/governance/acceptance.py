@@ -107,3 +107,13 @@ def identity_report(routes: DataFrame, steps: DataFrame, assigned: DataFrame) ->
     groups = identity.repeated_keys(routes, "source_route_id").agg(F.count("*").alias("duplicate_source_route_groups"), F.coalesce(F.sum("rows") - F.count("*"), F.lit(0)).alias("variant_rows")).first().asDict()
     sizes = routes.agg(F.count("*").alias("routes"), F.countDistinct("source_route_id").alias("source_routes")).first().asDict()
     return sizes | groups | identity.assignment_audit(steps, assigned).first().asDict() | {"steps": steps.count()}
+
+
+def route_audit(routes: DataFrame, steps: DataFrame) -> dict[str, int]:
+    """Counts of canonical routes: repeated ids, and routes without steps and steps without a route (GV13)."""
+    ids = routes.groupBy("route_id").agg(F.count("*").alias("n"))
+    sizes = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("routes"), F.count("*").alias("source_routes"), F.count_if(F.col("n") > 1).alias("duplicate_source_route_groups")).first().asDict()
+    of_steps = steps.groupBy("route_id").agg(F.count("*").alias("steps"))
+    both = ids.join(of_steps, "route_id", "full_outer")
+    found = both.agg(F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"), F.count_if(F.col("steps").isNull()).alias("routes_without_steps"), F.count_if(F.col("n").isNull()).alias("steps_without_route")).first().asDict()
+    return sizes | {"variant_rows": sizes["routes"] - sizes["source_routes"]} | found

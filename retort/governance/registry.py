@@ -66,6 +66,17 @@ class Registry:
             self._append("model", row["id"], task=task, dataset_version=version, stage=row["stage"], status="superseded", payload=json.loads(row["payload"]))
         return self._append("model", ident, task=task, dataset_version=version, stage=stage, status="active", payload=card)
 
+    def register_release(self, name: str, manifest: dict) -> dict:
+        """A release's manifest; one name is registered once."""
+        if self.release(name) is not None:
+            raise PermissionError(f"{name} is locked")
+        self._append("release", name, status="locked", payload=manifest)
+        return manifest
+
+    def release(self, name: str) -> dict | None:
+        row = self.current("release").where(F.col("id") == name).first()
+        return json.loads(row["payload"]) if row else None
+
     def models(self) -> DataFrame:
         return self.current("model")
 

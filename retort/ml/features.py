@@ -11,14 +11,24 @@ SIZES = (3, 4, 5)
 
 
 def character_ngrams(text: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """All substrings of the sizes, in order, case kept; shorter texts give none."""
+    """All substrings of the sizes, in order, case kept; shorter texts give none.
 
-    def of(n: int) -> Column:
-        count = F.greatest(F.length(text) - (n - 1), F.lit(0))
-        empty = F.array().cast("array<string>")
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(empty)
+    They are put together from an array of the characters, as finding a place in a long text takes time by its distance.
+    """
 
-    return F.concat(*[of(n) for n in sizes])
+    def of(chars: Column, n: int) -> Column:
+        count = F.size(chars) - (n - 1)
+        made = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+        return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))
+
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.transform(F.array(letters), lambda chars: F.concat(*[of(chars, n) for n in sizes]))[0]
+
+
+def sparse_parts(vector: str) -> Column:
+    """Struct (indices, values) of a sparse vector column, without making it dense."""
+    whole = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), "v struct<indices:array<int>,values:array<double>>")
+    return whole["v"]
 
 
 def hash_features(frame: DataFrame, text: str, out: str = "features", size: int = FEATURES) -> DataFrame:

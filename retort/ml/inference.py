@@ -21,6 +21,11 @@ def applicability(best: Column) -> Column:
     return F.when(best >= IN_DOMAIN, "in_domain").when(best >= NEAR_DOMAIN, "near_domain").otherwise("out_of_domain")
 
 
+def applicability_of(best: float) -> str:
+    """ML13 for one number."""
+    return "in_domain" if best >= IN_DOMAIN else "near_domain" if best >= NEAR_DOMAIN else "out_of_domain"
+
+
 def evidence(queries: DataFrame, index: DataFrame, k: int = 10, least_quality: float = LEAST_QUALITY, version: int = 2) -> DataFrame:
     """The k nearest indexed steps of every query, after the quality filter (SL4, CH18).
 

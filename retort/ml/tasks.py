@@ -51,3 +51,5 @@ MULTILABEL = {
 REGRESSIONS = {"time_regression": ("time_h", "log1p", "h"), "temperature_regression": ("temperature_c", "identity", "degC")}
 #: Reported but not learned: its target follows from a rule.
 AUDIT_ONLY = {"repairability": "deterministic_audit_not_trainable"}
+#: Stages of the first release's models when it is frozen; any other is ``baseline``.
+BASELINE_STAGES = {"parse_validity": "baseline", "primary_solvent": "staging", "agent_presence": "screening", "time_bucket": "experimental", "temperature_bucket": "experimental"}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retort.functions.scores import forward_target, inverse_target
@@ -111,11 +112,8 @@ def train_multilabel(rows: DataFrame, task: str, target: str, text: str, split:
     return Trained(task, True, kept, models, metrics={"test": metrics, "gate": gate, "top": top}, size=size)
 
 
-def train_regression(rows: DataFrame, task: str, target: str, text: str, transform: str = "identity", family: str = "reaction_family", split: str = "split", size: int = 1 << 12, iterations: int = 30) -> Trained:
-    """A Huber regression with residual intervals for all and for families with enough rows (ML4, A23, A24).
-
-    The optimiser keeps several dense vectors of the feature size, so regressions use fewer bins.
-    """
+def train_regression(rows: DataFrame, task: str, target: str, text: str, transform: str = "identity", family: str = "reaction_family", split: str = "split", size: int = FEATURES, iterations: int = 30) -> Trained:
+    """A Huber regression with residual intervals for all and for families with enough rows (ML4, A23, A24)."""
     known = rows.where(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("value"), F.col(text).alias("text"), F.col(split).alias("split"), F.coalesce(F.col(family), F.lit("unknown")).alias("family"))
     data = hash_features(known, "text", size=size).withColumn("y", forward_target(F.col("value"), transform))
     counts = {r["split"]: r["count"] for r in data.groupBy("split").count().collect()}
@@ -146,13 +144,45 @@ def with_intervals(rows: DataFrame, intervals: DataFrame, family: str, predicted
 
 def save(trained: Trained, folder: str) -> None:
     """Writes the models under a folder and a card with everything else as one row of JSON (SC16)."""
-    import json
-
     for i, model in enumerate(trained.models):
         model.write().overwrite().save(f"{folder}/model-{i:03d}")
     if trained.intervals is not None:
         trained.intervals.write.mode("overwrite").parquet(f"{folder}/intervals")
-    from pyspark.sql import SparkSession
-
     card = {k: getattr(trained, k) for k in ("task", "trained", "classes", "temperature", "metrics", "reason", "size")}
+    card["parts"] = {"models": len(trained.models)} | ({"intervals": True} if trained.intervals is not None else {})
     SparkSession.active().createDataFrame([(json.dumps(card, sort_keys=True, default=str),)], "card string").coalesce(1).write.mode("overwrite").text(f"{folder}/card")
+
+
+def load(spark: SparkSession, folder: str) -> Trained:
+    """What ``save`` wrote."""
+    card = json.loads("".join(r[0] for r in spark.read.text(f"{folder}/card").collect()))
+    parts = card.pop("parts")
+    trained = Trained(**card)
+    kind = LinearRegressionModel if "intervals" in parts else LogisticRegressionModel
+    trained.models = [kind.load(f"{folder}/model-{i:03d}") for i in range(parts["models"])]
+    if "intervals" in parts:
+        trained.intervals = spark.read.parquet(f"{folder}/intervals")
+    return trained
+
+
+def label_probabilities(trained: Trained, rows: DataFrame, text: str, key: str = "query_id") -> DataFrame:
+    """(key, label, probability) of each row and label: calibrated class probabilities, or each label's own for several labels."""
+    hashed = hash_features(rows.select(key, text), text, size=trained.size)
+    if len(trained.models) == 1 and len(trained.classes) > 1:
+        values = calibration.scaled(vector_to_array("probability"), trained.temperature)
+        scored = trained.models[0].transform(hashed).select(key, values.alias("p"))
+    else:
+        scored, parts = hashed, []
+        for i, model in enumerate(trained.models):  # each names its columns by its number
+            scored = model.transform(scored)
+            parts.append(vector_to_array(f"_p{i}")[1])
+        scored = scored.select(key, F.array(*parts).alias("p"))
+    pairs = F.zip_with("p", F.array(*[F.lit(c) for c in trained.classes]), lambda x, n: F.struct(n.alias("label"), x.alias("probability")))
+    return scored.select(key, F.inline(pairs))
+
+
+def predict_value(trained: Trained, rows: DataFrame, text: str, family: str, transform: str = "identity") -> DataFrame:
+    """Adds predicted, low and high to rows with a text and a family (ML14)."""
+    scored = trained.models[0].transform(hash_features(rows, text, size=trained.size))
+    scored = scored.withColumn("predicted", inverse_target(F.col("prediction"), transform)).drop("features", "prediction")
+    return with_intervals(scored, trained.intervals, family, "predicted", transform)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from retort.chem.columns import describe_molecules, reaction_fingerprint, reaction_sides
 from retort.functions import parsing
 from retort.functions.scores import reaction_similarity, tanimoto
-from retort.ml.features import hash_features
+from retort.ml.features import hash_features, sparse_parts
 from retort.operators import fingerprints, queue, reshape, windows
 from retort.plans.base import Plans
+from retort.plans.scalars import url_reaction
 from retort.session import ensure_checkpoint_dir
 from retort.sources.tables import table
 from retort.stages import context, derivation, mapping
@@ -61,7 +62,8 @@ def reaction_parse_classes(spark, sf):
 
 @query()
 def repair_candidates_ranked(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", _pick(REACTIONS, F.col("page_id")).alias("r"))
+    """Repairs of pages' addresses read as reactions with too many arrows."""
+    rows = table(spark, sf, "pages").select("page_id", F.replace(url_reaction(F.col("url")), F.lit(">"), F.lit(">>")).alias("r"))
     repairs = F.pandas_udf(context._repairs, f"array<struct<{context._nested(context.REPAIR)}>>")
     return rows.withColumn("c", repairs("r", F.lit(None).cast("string"), F.lit(1.0))).select("page_id", F.posexplode("c").alias("rank", "x")).select("page_id", (F.col("rank") + 1).alias("rank"), "x.repair_type", "x.rank_score", "x.accepted")
 
@@ -93,11 +95,10 @@ def reaction_similarity_topk(spark, sf):
 
 @query()
 def char_ngram_hash_features(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
-    hashed = hash_features(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", size=1 << 10)
-    values = vector_to_array("features")
-    return hashed.select("p_partkey", F.size(F.filter(values, lambda x: x > 0)).alias("bins"), F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    """Whole texts in the production number of bins; rows are digests of their sparse vectors."""
+    hashed = hash_features(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    parts = hashed.select("doc_id", sparse_parts("features").alias("v"))
+    return parts.select("doc_id", F.size("v.indices").alias("bins"), F.xxhash64("v.indices").alias("bins_hash"), F.round(F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
 @query("""

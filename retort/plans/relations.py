@@ -30,13 +30,16 @@ def step_key_conflict_suffix(spark, sf):
     return identity.suffix_repeated_keys(table(spark, sf, "lineitem"), key, content, [F.col(c) for c in LINE_ORDER]).groupBy("step_id").agg(F.count("*").alias("rows"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN n = 1 THEN 'first' WHEN h = f THEN 'exact_duplicate' ELSE 'conflict' END AS content_status FROM (
- SELECT doc_id, h, first_value(h) OVER w AS f, row_number() OVER w AS n FROM (SELECT doc_id, sha256(text) AS h, md5(substr(text, 1, 12)) AS k FROM documents) WINDOW w AS (PARTITION BY k ORDER BY doc_id))
+@query(f"""
+SELECT l_orderkey, l_linenumber, h AS content, CASE WHEN n = 1 THEN 'first' WHEN h = f THEN 'exact_duplicate' ELSE 'conflict' END AS content_status FROM (
+ SELECT l_orderkey, l_linenumber, h, first_value(h) OVER w AS f, row_number() OVER w AS n FROM (
+  SELECT *, sha256(CAST(l_partkey AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR)) AS h FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey, l_linenumber ORDER BY {LINE_SQL}))
 """)
 def first_seen_content_dedup(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.md5(F.substring("text", 1, 12)).alias("k"))
-    return identity.first_seen(docs, "k", F.sha2("text", 256), [F.col("doc_id")]).select("doc_id", "content_status")
+    steps = table(spark, sf, "lineitem").withColumn("step", F.format_string("%d::%03d", "l_orderkey", "l_linenumber"))
+    content = F.sha2(F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")), 256)
+    found = identity.first_seen(steps, "step", content, [F.col(c) for c in LINE_ORDER])
+    return found.select("l_orderkey", "l_linenumber", content.alias("content"), "content_status")
 
 
 @query("""
@@ -152,13 +155,15 @@ def condition_evidence_unpivot(spark, sf):
     return evidence.groupBy("l_orderkey", "evidence_type", "value_text", "value_double").agg(F.count("*").alias("rows"))
 
 
-@query("""
-SELECT p_partkey, 'reactant' AS role, (i - 1)::INT AS position, w AS molecule FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part)
-UNION ALL SELECT p_partkey, 'product', 0, p_brand FROM part
+@query(r"""
+WITH d AS (SELECT doc_id, source, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, 'reactant' AS role, (i - 1)::INT AS position, m AS molecule FROM (SELECT doc_id, unnest(w) AS m, generate_subscripts(w, 1) AS i FROM d)
+UNION ALL SELECT doc_id, 'product', 0, source FROM d WHERE source <> ''
 """)
 def role_position_explode(spark, sf):
-    steps = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("r"), F.array("p_brand").alias("p"))
-    return reshape.role_positions(steps, "p_partkey", {"reactant": "r", "product": "p"})
+    words = F.split("text", "[\\x20\\x09-\\x0D]")
+    steps = table(spark, sf, "documents").select("doc_id", words.alias("r"), F.array_compact(F.array("source")).alias("p"))
+    return reshape.role_positions(steps, "doc_id", {"reactant": "r", "product": "p"})
 
 
 @query(r"""
@@ -225,13 +230,13 @@ def connected_components_routes(spark, sf):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey + 1000000 AS b FROM orders WHERE o_orderstatus = 'P'), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT 'c:' || o_custkey AS a, 'o:' || o_orderkey AS b FROM orders), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
 SELECT node, min(seen) AS component FROM r GROUP BY 1
 """)
 def connected_components_small(spark, sf):
-    edges = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1000000).alias("dst"))
-    return connected_components(edges)
+    """Customers with their orders: small components, which a recursive query can give as well."""
+    return connected_components(table(spark, sf, "orders").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("dst")))
 
 
 @query()
@@ -320,11 +325,10 @@ def tumbling_counts(spark, sf):
     return rows
 
 
-@query("""
-SELECT 'orders' AS source, o_orderkey AS key FROM orders WHERE o_orderkey % 10 < 4 UNION ALL SELECT 'orders_new', o_orderkey FROM orders WHERE o_orderkey % 10 >= 4 AND o_orderkey % 10 < 7
-""")
+@query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 'queued' ELSE 'fresh' END AS source, o_orderkey AS key FROM orders""")
 def queue_idempotent_populate(spark, sf):
+    """Finished orders are in the queue; all orders come in twice over."""
     orders = table(spark, sf, "orders")
-    state = orders.where("o_orderkey % 10 < 4").select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("key"))
-    fresh = orders.where("o_orderkey % 10 < 7").select(F.lit("orders_new").alias("source"), F.col("o_orderkey").alias("key"))
+    state = orders.where("o_orderstatus = 'F'").select(F.lit("queued").alias("source"), F.col("o_orderkey").alias("key"))
+    fresh = orders.select(F.lit("fresh").alias("source"), F.col("o_orderkey").alias("key"))
     return reshape.insert_missing(state, fresh.union(fresh), ["key"])

@@ -33,11 +33,11 @@ def content_hash_keys(spark, sf):
 
 @query(r"""
 SELECT page_id, regexp_replace(raw, '^(.+)-[0-9]{4,}$', '\1') AS group_id
-FROM (SELECT page_id, 'US' || CAST(page_id % 7 AS VARCHAR) || '-' || lpad(CAST(page_id AS VARCHAR), CASE WHEN page_id % 3 = 0 THEN 3 ELSE 5 END, '0') AS raw FROM pages)
+FROM (SELECT page_id, url || '-' || lpad(CAST(page_id AS VARCHAR), CASE WHEN page_id % 3 = 0 THEN 3 ELSE 5 END, '0') AS raw FROM pages)
 """)
 def group_id_suffix_strip(spark, sf):
     p = F.col("page_id")
-    raw = F.concat(F.lit("US"), (p % 7).cast("string"), F.lit("-"), F.when(p % 3 == 0, F.lpad(p.cast("string"), 3, "0")).otherwise(F.lpad(p.cast("string"), 5, "0")))
+    raw = F.concat("url", F.lit("-"), F.lpad(p.cast("string"), F.when(p % 3 == 0, 3).otherwise(5), F.lit("0")))
     return table(spark, sf, "pages").select("page_id", parsing.patent_document_id(raw).alias("group_id"))
 
 
@@ -102,17 +102,31 @@ def positional_numeric_reparse(spark, sf):
     return rows.groupBy(F.col("m.temperature_c").alias("temperature_c"), F.round("m.time_h", 9).alias("time_h"), F.col("m.confidence").alias("confidence"), F.array_join("m.issues", ",").alias("issues")).agg(F.count("*").alias("rows"))
 
 
-@query("""
-WITH raw AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'AB>>CD' WHEN 1 THEN 'AB>O.25>C.D' WHEN 2 THEN 'ABC' WHEN 3 THEN '>>CD' WHEN 4 THEN 'm12.A>>B' WHEN 5 THEN 'a1>>B' WHEN 6 THEN 'A>>b9. C' ELSE 'x1>>y2' END AS r FROM pages)
-SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'valid' WHEN 1 THEN 'valid' WHEN 2 THEN 'malformed_delimiter' WHEN 3 THEN 'empty_reaction_side' WHEN 4 THEN 'symbolic_intermediate' WHEN 5 THEN 'invalid_reactant' WHEN 6 THEN 'invalid_product' ELSE 'invalid_both_sides' END AS parse_class,
-       CASE page_id % 8 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS reactants, CASE page_id % 8 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 6 THEN 2 ELSE 1 END AS products
-FROM raw
+def _unlike(pattern: str):
+    return lambda x: ~(x.rlike(pattern) | reactions.is_placeholder(x))
+
+
+def url_reaction(url):
+    """A page's address as a reaction text: host labels, then what is between the first two slashes, then the rest."""
+    return F.regexp_replace(F.regexp_replace(url, "^https?://", ""), "/", ">")
+
+
+@query(r"""
+WITH raw AS (SELECT page_id, trim(replace(regexp_replace(url, '^https?://', ''), '/', '>')) AS r FROM pages),
+n AS (SELECT page_id, r, (length(r) - length(replace(r, '>>', ''))) // 2 AS doubles, length(r) - length(replace(r, '>', '')) AS singles, string_split(r, '>') AS f FROM raw),
+s AS (SELECT page_id, doubles = 1 OR (doubles = 0 AND singles >= 2) AS good,
+             CASE WHEN doubles = 1 THEN string_split(r, '>>')[1] WHEN doubles = 0 AND singles >= 2 THEN f[1] ELSE '' END AS a,
+             CASE WHEN doubles = 1 THEN substr(r, instr(r, '>>') + 2) WHEN doubles = 0 AND singles >= 2 THEN array_to_string(f[3:], '>') ELSE '' END AS b FROM n),
+m AS (SELECT page_id, good, list_filter(list_transform(string_split(a, '.'), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(b, '.'), lambda x: trim(x)), lambda x: x <> '') AS b FROM s),
+v AS (SELECT page_id, good, len(a) AS na, len(b) AS nb, len(list_filter(list_concat(a, b), lambda x: regexp_matches(x, '^(?i)M[0-9]+$'))) > 0 AS symbolic,
+             len(list_filter(a, lambda x: NOT regexp_matches(x, '^([a-z-]+|(?i)M[0-9]+)$'))) = 0 AS ok_a, len(list_filter(b, lambda x: NOT regexp_matches(x, '^([a-z0-9-]+|(?i)M[0-9]+)$'))) = 0 AS ok_b FROM m)
+SELECT page_id, CASE WHEN NOT good THEN 'malformed_delimiter' WHEN na = 0 OR nb = 0 THEN 'empty_reaction_side' WHEN ok_a AND ok_b AND NOT symbolic THEN 'valid' WHEN ok_a AND ok_b THEN 'symbolic_intermediate'
+       WHEN NOT ok_a AND NOT ok_b THEN 'invalid_both_sides' WHEN NOT ok_a THEN 'invalid_reactant' ELSE 'invalid_product' END AS parse_class, na::INT AS reactants, nb::INT AS products FROM v
 """)
 def delimiter_parse_class(spark, sf):
-    forms = ["AB>>CD", "AB>O.25>C.D", "ABC", ">>CD", "m12.A>>B", "a1>>B", "A>>b9. C", "x1>>y2"]
-    text = F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("page_id") % 8 + 1).cast("int"))
-    rows = table(spark, sf, "pages").select("page_id", reactions.reaction_sides(text).alias("s"))
-    ok = {side: F.forall(F.col(f"s.{side}"), lambda x: x.rlike("\\A[A-Z]+\\z") | reactions.is_placeholder(x)) for side in ("reactants", "products")}
+    rows = table(spark, sf, "pages").select("page_id", reactions.reaction_sides(url_reaction(F.col("url"))).alias("s"))
+    fit = {"reactants": "\\A[a-z-]+\\z", "products": "\\A[a-z0-9-]+\\z"}
+    ok = {side: F.size(F.filter(f"s.{side}", _unlike(pattern))) == 0 for side, pattern in fit.items()}
     return rows.select("page_id", reactions.parse_class(F.col("s"), ok["reactants"], ok["products"]).alias("parse_class"), F.size("s.reactants").alias("reactants"), F.size("s.products").alias("products"))
 
 

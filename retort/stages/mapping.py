@@ -73,6 +73,15 @@ class MappingConfig:
     tokens: Callable[[str], int] = count_tokens
 
 
+class Surroundings:
+    """The fallback as a backend."""
+
+    name = "mcs"
+
+    def map_batch(self, texts: list[str]) -> list[tuple[str, float]]:
+        return [(m.reaction, m.confidence) for m in map(reaction.map_by_surroundings, texts)]
+
+
 def preflight(config: MappingConfig, probe: str = "CCO>>CC=O") -> str:
     """Fails before anything is written if the backend doesn't map a known reaction; its name otherwise (GV15)."""
     if config.backend is None:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from retort.governance import acceptance, splits
 from retort.governance.registry import Registry
 from retort.ml import anomaly, tasks, train
 from retort.schemas import SOURCE_ROUTES, SOURCE_STEPS
-from retort.sources.datasets import Artifact, read_dataset, write_dataset
+from retort.sources.datasets import Artifact, read_dataset, tree_digest, write_dataset
 from retort.stages import canonical, context, derivation, index, mapping
 
 STAGES = ("canonical", "context", "mapping", "derivation", "splits", "indexes", "training", "validation")
@@ -76,6 +77,55 @@ class Workflow:
                 out[name] = registry.register_audit(name, self.version, {"reason": found.reason}, found.reason)
         return out
 
+    def specialist(self, names: tuple[str, ...], size: int = train.FEATURES) -> dict:
+        """Trains tasks with several labels and regressions."""
+        final, registry, out = self._read("final/steps"), Registry(self.spark, f"{self.root}/registry"), {}
+        digest = splits.split_digest(final)
+        for name in names:
+            if name in tasks.REGRESSIONS:
+                target, transform, _ = tasks.REGRESSIONS[name]
+                rows = final.where(F.col("canonical_resolved_reaction_smiles").isNotNull())
+                found = train.train_regression(rows, name, target, "canonical_resolved_reaction_smiles", transform, size=size)
+            else:
+                task = tasks.MULTILABEL[name]
+                found = train.train_multilabel(final.where(task.eligible()), name, task.target, task.text, minimum=task.minimum, most=task.labels, top=task.top, size=size)
+            if found.trained:
+                train.save(found, f"{self.root}/models/{name}")
+                out[name] = registry.register_model(name, self.version, {"metrics": found.metrics, "split_digest": digest})
+            else:
+                out[name] = registry.register_audit(name, self.version, {"reason": found.reason}, found.reason)
+        return out
+
+    def anomaly(self) -> dict:
+        return {"anomaly": self._write("index/anomaly", anomaly.fit(self._read("final/steps")))}
+
+    def freeze(self, release: str = "v1.0.0-baseline") -> dict:
+        """Freezes the canonical tables as a baseline, once: their digests, and the models moved to their baseline stages (GV8)."""
+        registry = Registry(self.spark, f"{self.root}/registry")
+        held = registry.release(release)
+        if held is not None:
+            return held
+        models = []
+        for row in registry.models().where("status = 'active'").collect():
+            stage = tasks.BASELINE_STAGES.get(row["task"], "baseline")
+            registry.promote(row["id"], stage, approved=True)
+            models.append({"model_id": row["id"], "task": row["task"], "stage": stage})
+        digests = {n: tree_digest(self.spark, f"{self.root}/canonical/{n}") for n in ("steps", "routes", "quality_events")}
+        return registry.register_release(release, {"release": release, "kind": "baseline", "digests": digests, "models": models})
+
+    def lock(self, release: str) -> dict:
+        """Locks a release of the final tables if every gate holds (GV8)."""
+        registry = Registry(self.spark, f"{self.root}/registry")
+        digests = {n: tree_digest(self.spark, f"{self.root}/{n}") for n in ("final/steps", "final/routes", "index/reactions")}
+        return registry.register_release(release, acceptance.lock(self.validation(), digests, release))
+
+    def check_release(self) -> dict:
+        """Counts of the canonical tables, and whether they can be released (GV14)."""
+        steps, routes = self._read("canonical/steps"), self._read("canonical/routes")
+        counts = steps.agg(F.count("*").alias("steps"), F.countDistinct("step_id").alias("step_ids"), F.count_if("parse_ok").alias("parsed"), F.count_if(F.col("split").isNull()).alias("without_split")).first().asDict()
+        counts |= routes.agg(F.count("*").alias("routes"), F.countDistinct("route_uid").alias("route_uids")).first().asDict()
+        return counts | {"passed": bool(counts["steps"]) and counts["steps"] == counts["step_ids"] and not counts["without_split"]}
+
     def validation(self) -> dict:
         registry = Registry(self.spark, f"{self.root}/registry", read_only=True)
         return acceptance.accept(self._read("final/steps"), self._read("final/routes"), self._read("context/route_edges"), self._read("index/reactions"), registry)

@@ -68,3 +68,35 @@ def test_bits(spark):
     assert one(spark, words) == 2 / 64
     assert one(spark, scores.tanimoto(F.array(F.lit(0).cast("long")), F.array(F.lit(0).cast("long")))) == 0
     assert 0 <= min(one(spark, scores.centre_bits(F.sha2(F.lit("x"), 256)))) and len(one(spark, scores.centre_bits(F.sha2(F.lit("x"), 256)))) == 32
+
+
+@pytest.mark.parametrize(
+    ("text", "expected", "reactants", "products"),
+    [
+        ("AB>>CD", "valid", 1, 1),
+        ("AB>O.25>C.D", "valid", 1, 2),
+        ("ABC", "malformed_delimiter", 0, 0),
+        (">>CD", "empty_reaction_side", 0, 1),
+        ("m12.A>>B", "symbolic_intermediate", 2, 1),
+        ("a1>>B", "invalid_reactant", 1, 1),
+        ("A>>b9. C", "invalid_product", 1, 2),
+        ("x1>>y2", "invalid_both_sides", 1, 1),
+        ("A>>B>>C", "malformed_delimiter", 0, 0),
+        (None, "malformed_delimiter", 0, 0),
+    ],
+)
+def test_parse_classes(spark, text, expected, reactants, products):
+    sides = reactions.reaction_sides(F.lit(text).cast("string"))
+    ok = [F.forall(sides[s], lambda x: x.rlike("\\A[A-Z]+\\z") | reactions.is_placeholder(x)) for s in ("reactants", "products")]
+    got = one(spark, F.struct(reactions.parse_class(sides, *ok), F.size(sides["reactants"]), F.size(sides["products"])))
+    assert tuple(got) == (expected, reactants, products)
+
+
+def test_ngrams(spark):
+    from retort.ml.features import character_ngrams, hash_features, sparse_parts
+
+    text = "aé😀bcdé"
+    assert one(spark, character_ngrams(F.lit(text))) == [text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)]
+    assert one(spark, character_ngrams(F.lit("ab"))) == [] and one(spark, character_ngrams(F.lit(""))) == []
+    rows = hash_features(spark.createDataFrame([("abcabc",), (None,), ("",)], "t string"), "t").select(sparse_parts("features").alias("v")).collect()
+    assert sum(x * x for x in rows[0]["v"]["values"]) == pytest.approx(1) and rows[0]["v"]["indices"] == sorted(rows[0]["v"]["indices"]) and not rows[1]["v"]["indices"] and not rows[2]["v"]["indices"]
