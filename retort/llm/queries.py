@@ -24,27 +24,27 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byt
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents", deal=True), width=4, percent=80)
 
 
 def op2_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents", deal=True))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_predictions(table(spark, sf_dir, "documents"))
+    return language_predictions(table(spark, sf_dir, "documents", deal=True))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), PIECES, limit=4096)
+    return token_counts(table(spark, sf_dir, "documents", deal=True), PIECES, limit=4096)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents", deal=True))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(table(spark, sf_dir, "documents"), PIECES)
+    return encoding_digests(table(spark, sf_dir, "documents", deal=True), PIECES)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,15 +56,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents", deal=True))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), *BYTES, capacity=1024)
+    return pack_documents(table(spark, sf_dir, "documents", deal=True), *BYTES, capacity=1024)
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents"))
+    return media_digests(table(spark, sf_dir, "documents", deal=True))
 
 
 __all__ = ["ORACLES", "QUERIES"]
