@@ -77,7 +77,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", deal=True)
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):

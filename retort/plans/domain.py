@@ -77,7 +77,7 @@ def molecule_catalogue(spark, sf):
 
 @query()
 def mapped_reaction_families(spark, sf):
-    rows = table(spark, sf, "orders").select(F.lit("v").alias("dataset_version"), F.col("o_orderkey").cast("string").alias("step_id"), F.col("o_custkey").cast("string").alias("route_id"), _pick(REACTIONS[:4], F.col("o_orderkey")).alias("r"))
+    rows = table(spark, sf, "orders", deal=True).select(F.lit("v").alias("dataset_version"), F.col("o_orderkey").cast("string").alias("step_id"), F.col("o_custkey").cast("string").alias("route_id"), _pick(REACTIONS[:4], F.col("o_orderkey")).alias("r"))
     candidates = rows.select("dataset_version", "step_id", "route_id", F.regexp_replace("r", ">[^>]+>", ">>").alias("reaction_smiles"), F.lit("eligible").alias("eligibility_status"), F.lit("pending").alias("mapping_status"))
     derived = derivation.derive(mapping.map_candidates(candidates))
     return derivation.tables(derived).reaction_families.groupBy("reaction_family", "family_cluster_id").agg(F.count("*").alias("rows"))
@@ -85,7 +85,7 @@ def mapped_reaction_families(spark, sf):
 
 @query()
 def reaction_similarity_topk(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.concat(_pick(MOLECULES[:6], F.col("p_partkey")), F.lit(">>"), _pick(MOLECULES[:5], F.col("p_size"))).alias("r"))
+    rows = table(spark, sf, "part", deal=True).select("p_partkey", F.concat(_pick(MOLECULES[:6], F.col("p_partkey")), F.lit(">>"), _pick(MOLECULES[:5], F.col("p_size"))).alias("r"))
     prints = rows.select("r").distinct().withColumn("f", reaction_fingerprint("r"))
     index = rows.join(prints, "r").where("f.reactant is not null").select("p_partkey", F.col("f.reactant").alias("reactant"), F.col("f.product").alias("product"))
     queries = index.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("reactant").alias("qr"), F.col("product").alias("qp"))
@@ -96,7 +96,7 @@ def reaction_similarity_topk(spark, sf):
 @query()
 def char_ngram_hash_features(spark, sf):
     """Whole texts in the production number of bins; rows are digests of their sparse vectors."""
-    hashed = hash_features(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    hashed = hash_features(table(spark, sf, "documents", deal=True).select("doc_id", "text"), "text")
     parts = hashed.select("doc_id", sparse_parts("features").alias("v"))
     return parts.select("doc_id", F.size("v.indices").alias("bins"), F.xxhash64("v.indices").alias("bins_hash"), F.round(F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 

@@ -29,7 +29,7 @@ SELECT query_id, vec_id, label, query_label, score, rank FROM (SELECT *, row_num
 
 @query(f"SELECT query_id, vec_id, score, rank FROM ({NEIGHBOURS_SQL})")
 def cosine_topk(spark, sf):
-    vectors = table(spark, sf, "embeddings")
+    vectors = table(spark, sf, "embeddings", deal=True)
     return fingerprints.cosine_search(vectors, _queries(vectors), "query_id", "vec_id", "query_vector", "embedding", 10)
 
 
@@ -39,13 +39,13 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, round(CASE WHEN bit_count(q.bits |
 SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p) WHERE rank <= 10
 """)
 def tanimoto_topk(spark, sf):
-    words = table(spark, sf, "embeddings").select("vec_id", fingerprints.sign_words(F.col("embedding")).alias("words"))
+    words = table(spark, sf, "embeddings", deal=True).select("vec_id", fingerprints.sign_words(F.col("embedding")).alias("words"))
     queries = words.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("words").alias("query_words"))
     return fingerprints.tanimoto_search(words, queries, "query_id", "vec_id", "query_words", "words", 10)
 
 
 def _neighbours(spark, sf):
-    vectors = table(spark, sf, "embeddings")
+    vectors = table(spark, sf, "embeddings", deal=True)
     found = fingerprints.cosine_search(vectors, _queries(vectors), "query_id", "vec_id", "query_vector", "embedding", 10)
     labels = vectors.select("vec_id", "label")
     return found.join(labels, "vec_id").join(_queries(vectors).select("query_id", "query_label"), "query_id")
@@ -196,7 +196,7 @@ def queue_stale_recovery(spark, sf):
 SELECT label, round(avg(s), 5) AS mean_similarity, count(*) AS rows FROM (SELECT a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) GROUP BY 1
 """)
 def adjacent_vector_similarity(spark, sf):
-    vectors = table(spark, sf, "embeddings")
+    vectors = table(spark, sf, "embeddings", deal=True)
     nxt = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     joined = vectors.join(nxt, "vec_id").select("label", cosine(F.col("embedding"), F.col("other")).alias("s"))
     return joined.groupBy("label").agg(F.round(F.avg("s"), 5).alias("mean_similarity"), F.count("*").alias("rows"))

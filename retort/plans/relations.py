@@ -212,10 +212,10 @@ def split_membership_leakage(spark, sf):
 
 def leakage_edges(spark, sf):
     """Route to patent (customer and month) and route to signature (part and ship date) edges of orders."""
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders", deal=True)
     route = F.concat(F.lit("r:"), F.col("o_orderkey").cast("string"))
     patent = F.concat(F.lit("p:"), F.col("o_custkey").cast("string"), F.lit(":"), F.date_format("o_orderdate", "yyyyMM"))
-    lines = table(spark, sf, "lineitem")
+    lines = table(spark, sf, "lineitem", deal=True)
     signature = F.concat(F.lit("s:"), F.col("l_partkey").cast("string"), F.lit(":"), F.date_format("l_shipdate", "yyyyMMdd"))
     return orders.select(route.alias("src"), patent.alias("dst")).unionByName(
         lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(F.concat(F.lit("r:"), F.col("l_orderkey").cast("string")).alias("src"), signature.alias("dst"))

@@ -98,7 +98,7 @@ FROM three GROUP BY 1, 2, 3, 4
 def positional_numeric_reparse(spark, sf):
     a, b = F.col("l_quantity").cast("int") - 20, F.round("l_extendedprice").cast("int") % 900
     text = F.concat(F.lit("CC>O."), a.cast("string"), F.lit("."), b.cast("string"), F.lit(">CO"))
-    rows = table(spark, sf, "lineitem").select(conditions.reparse_middle(text).alias("m"))
+    rows = table(spark, sf, "lineitem", deal=True).select(conditions.reparse_middle(text).alias("m"))
     return rows.groupBy(F.col("m.temperature_c").alias("temperature_c"), F.round("m.time_h", 9).alias("time_h"), F.col("m.confidence").alias("confidence"), F.array_join("m.issues", ",").alias("issues")).agg(F.count("*").alias("rows"))
 
 
