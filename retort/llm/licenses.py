@@ -30,6 +30,8 @@ UNKNOWN = "unknown"
 BINS_LOG = 15
 #: Bound of the sample of the corpus that stands for the unknown class: documents, and paragraphs of them.
 UNKNOWN_SAMPLE, UNKNOWN_PARAGRAPHS = 200, 2000
+#: Longer ones of the sample are cut into pieces of so many words.
+SAMPLE_WORDS = 200
 #: Share of held-out unknown paragraphs that may be taken for a family and confirmed.
 FALSE_SHARE = 0.001
 #: Least share of a text's trigrams in the templates, or of a template's in the text, and least trigrams of such a template.
@@ -182,8 +184,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _paragraphs(texts: list[str]) -> Paragraphs:
-    (part,) = text_slices(pa.array([x.replace("\n", " ") for x in texts])) if texts else (None,)
-    return Paragraphs(part)
+    """Each text as one paragraph, all in one slice."""
+    encoded = [x.replace("\n", " ").encode() for x in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded], dtype=np.int64)])
+    return Paragraphs(Slice(np.frombuffer(b"".join(encoded), np.uint8), offsets, (0, len(texts))))
 
 
 def template_paragraphs(family: str) -> list[str]:
@@ -292,11 +296,9 @@ def unknown_sample(docs: DataFrame, documents: int = UNKNOWN_SAMPLE) -> list[str
     least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(documents).collect()]  # texts of the chosen only come after
     rows = sorted(hashed.where(F.col("h").isin(least)).distinct().collect(), key=lambda r: (r["h"], r["text"])) if least else []
     cues = ("licen", "copyright", "gpl", "creative commons", "cc by", "cc0")
-    lines = [x for row in rows for x in row["text"].split("\n") if not any(c in x.lower() for c in cues)]
-    found = _paragraphs(lines) if lines else None
-    if found is None:
-        return []
-    return [lines[i] for i in sorted({int(i) for i in found.text})][:UNKNOWN_PARAGRAPHS]
+    lines = [x.split() for row in rows for x in row["text"].split("\n") if not any(c in x.lower() for c in cues)]
+    pieces = [" ".join(x[i : i + SAMPLE_WORDS]) for x in lines for i in range(0, len(x), SAMPLE_WORDS)]
+    return [x for x in pieces if re.search(r"[A-Za-z0-9\x80-\U0010ffff]", x)][:UNKNOWN_PARAGRAPHS]
 
 
 def _matches(machine: LicenseModel, found: Paragraphs, texts: int) -> list[list[dict]]:

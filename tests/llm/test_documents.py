@@ -74,7 +74,7 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
 
 def test_similarity_estimate(spark):
     a, b = " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(300, 3000))
-    sketches = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").mapInArrow(minhash._sketch(5), minhash.SKETCH)
+    sketches = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string").withColumn("key", F.lit(0).cast("long")).mapInArrow(minhash._sketch(5), minhash.SKETCH)
     pair = sketches.where("doc_id = 1").alias("x").join(sketches.where("doc_id = 2").alias("y"), F.lit(True))
     assert abs(pair.select(minhash.estimated_similarity("x", "y").alias("e")).first()["e"] - 0.9) < 0.12
 
@@ -237,6 +237,7 @@ def test_licences(spark, odd_docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     planted = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl"}
     model = licenses.fit(licenses.unknown_sample(docs))
+    assert len(licenses._paragraphs(["some words"] * 300_000)) == 300_000  # over several slices' bytes
     for r in licenses.scan_licenses(docs, model).collect():
         assert r["families"] == sorted({f for x, f in planted.items() if x in texts[r["doc_id"]].split("\n")})
     prose = " ".join(" ".join(texts[d].split("\n")[0] for d in sorted(texts) if texts[d])[:4000].split()[:150])
