@@ -84,6 +84,8 @@ def publish(spark: SparkSession, staged: str, live: str, names: list[str]) -> No
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(live).getFileSystem(conf)
+    if missing := [n for n in names if not fs.exists(path(f"{staged}/{n}"))]:
+        raise FileNotFoundError(f"{missing} aren't in {staged}")
     fs.mkdirs(path(live))
     done: list[str] = []
     try:
@@ -95,8 +97,9 @@ def publish(spark: SparkSession, staged: str, live: str, names: list[str]) -> No
                 raise OSError(f"can't move {name}")
     except Exception:
         for name in reversed(done):
+            if fs.exists(path(f"{live}/{name}")):  # back to where it came from
+                fs.rename(path(f"{live}/{name}"), path(f"{staged}/{name}"))
             if fs.exists(path(f"{live}/.{name}.old")):
-                fs.delete(path(f"{live}/{name}"), True)
                 fs.rename(path(f"{live}/.{name}.old"), path(f"{live}/{name}"))
         raise
     for name in names:
