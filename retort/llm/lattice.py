@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
-from retort.llm.piecemodel import SPACE, PieceModel
+from retort.llm.piecemodel import SPACE, PieceModel, piece_model
 from retort.llm.textbatch import gather, mix
 
 
@@ -24,33 +26,40 @@ class SuffixIndex:
                 key = (key << np.uint64(self.bits)) | padded[at : at + len(codes)]
             keys.append(key)
         inner = np.flatnonzero(codes)
-        self.order = inner[np.lexsort([k[inner] for k in reversed(keys)])]
-        self.keys = [k[self.order] for k in keys]
-
-    def _span(self, codes: list[int]) -> tuple[int, int]:
-        """The least and greatest key word that begins with the codes."""
-        value = 0
-        for c in codes:
-            value = value << self.bits | c
-        spare = (self.per_word - len(codes)) * self.bits
-        return value << spare, ((value + 1) << spare) - 1
-
-    def ranges(self, patterns: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each pattern, [low, high) of the suffixes that begin with it."""
-        if not patterns:
+        order = inner[np.argsort(keys[0][inner])]
+        # few suffixes share their first word; only those are sorted by the others
+        first = keys[0][order]
+        same = np.zeros(len(order), bool)
+        same[1:] = first[1:] == first[:-1]
+        same[:-1] |= same[1:]
+        tied = np.flatnonzero(same)
+        order[tied] = order[tied][np.lexsort([k[order[tied]] for k in reversed(keys)])]
+        self.order = order
+        self.keys = [k[order] for k in keys]
+
+    def ranges(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pattern, given as its codes one after another, [low, high) of the suffixes that begin with it."""
+        count, width = len(sizes), len(self.keys) * self.per_word
+        if not count:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        edges = np.array([self._span(p[: self.per_word]) for p in patterns], np.uint64)
-        low = np.searchsorted(self.keys[0], edges[:, 0], side="left")
-        high = np.searchsorted(self.keys[0], edges[:, 1], side="right")
-        for i in [i for i, p in enumerate(patterns) if len(p) > self.per_word and low[i] < high[i]]:
-            for w in range(1, len(self.keys)):
-                tail = patterns[i][w * self.per_word : (w + 1) * self.per_word]
-                if not tail or low[i] >= high[i]:
-                    break
-                least, most = self._span(tail)
+        table = np.zeros((count, width), np.uint64)
+        table[np.repeat(np.arange(count), sizes), np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = codes
+        least, most = [], []  # the least and greatest key word that begins with a pattern's part of it
+        for w in range(len(self.keys)):
+            key = np.zeros(count, np.uint64)
+            for i in range(w * self.per_word, (w + 1) * self.per_word):
+                key = (key << np.uint64(self.bits)) | table[:, i]
+            spare = (self.per_word - np.clip(sizes - w * self.per_word, 1, self.per_word)) * self.bits
+            least.append(key), most.append(key + ((np.uint64(1) << spare.astype(np.uint64)) - np.uint64(1)))
+        low = np.searchsorted(self.keys[0], least[0], side="left")
+        high = np.searchsorted(self.keys[0], most[0], side="right")
+        for i in np.flatnonzero((sizes > self.per_word) & (low < high)).tolist():
+            for w in range(1, -(-int(sizes[i]) // self.per_word)):
                 inside, first = self.keys[w][low[i] : high[i]], low[i]
-                low[i] = first + np.searchsorted(inside, np.uint64(least), side="left")
-                high[i] = first + np.searchsorted(inside, np.uint64(most), side="right")
+                low[i] = first + np.searchsorted(inside, least[w][i], side="left")
+                high[i] = first + np.searchsorted(inside, most[w][i], side="right")
+                if low[i] >= high[i]:
+                    break
         return low, np.maximum(low, high)
 
 
@@ -79,6 +88,12 @@ class FollowCache:
         return out
 
 
+@lru_cache(maxsize=2)
+def follow_cache(path: str) -> FollowCache:
+    """The cache of a model, kept by a worker for its later tasks."""
+    return FollowCache(piece_model(path))
+
+
 class Lattice:
     """For each character position of the chunks: the last piece of the encoding up to there, where it begins, and the pieces so far.
 
@@ -96,18 +111,18 @@ class Lattice:
         spread = np.zeros(len(self.points) + len(chunks), np.int64)
         spread[np.arange(len(self.points)) + shift] = self.points.astype(np.int64) + 1
         known, codes = np.unique(spread, return_inverse=True)
-        code_of = {chr(int(c) - 1): k for k, c in enumerate(known.tolist()) if c}
-        pieces, patterns = [], []
-        for piece, ident in model.made.items():
-            coded = [code_of.get(c, 0) for c in piece]
-            if 0 not in coded:
-                pieces.append(ident)
-                patterns.append(coded)
+        # the pieces whose characters all occur, as codes
+        place = np.minimum(np.searchsorted(known, model.made_points), max(len(known) - 1, 0))
+        hit = known[place] == model.made_points if len(known) else np.zeros(len(place), bool)
+        starts = np.cumsum(model.made_sizes) - model.made_sizes
+        here = np.flatnonzero(np.logical_and.reduceat(hit, starts))
+        pieces, lengths = model.made_ids[here], model.made_sizes[here]
+        coded = gather(place, starts[here], lengths)
         index = SuffixIndex(codes, len(known), model.longest)
-        low, high = index.ranges(patterns)
+        low, high = index.ranges(coded, lengths)
         begin = gather(index.order, low, high - low)
-        piece = np.repeat(np.array(pieces, np.int64), high - low)
-        stop = begin + np.repeat(np.array([len(p) for p in patterns], np.int64), high - low)
+        piece = np.repeat(pieces, high - low)
+        stop = begin + np.repeat(lengths, high - low)
         del index
         owner = np.cumsum(spread == 0) - (spread == 0)  # chunk of each spread position
         chunk = owner[begin]
@@ -118,7 +133,7 @@ class Lattice:
         self.last = np.full(len(self.points), -1, np.int64)
         self.came = np.arange(len(self.points), dtype=np.int64)
         self.count = np.zeros(len(self.points), np.int64)
-        single = np.array([ord(c) for c in code_of if c in model.made], np.uint32)
+        single = (known[coded[np.cumsum(lengths)[lengths == 1] - 1]] - 1).astype(np.uint32)
         lone = np.flatnonzero(~np.isin(self.points, single))
         p = self.points[lone]
         spelled = 1 + (p >= 0x80).astype(np.int64) + (p >= 0x800) + (p >= 0x10000)

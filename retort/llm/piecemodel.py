@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import sentencepiece
 
 SPACE = "▁"
@@ -39,6 +40,10 @@ class PieceModel:
         #: pieces that merging can make
         self.made = {t: i for t, i in self.ids.items() if len(t) == 1 or i in self.split}
         self.longest = max(map(len, self.made))
+        # the same as arrays: code points plus one, one piece after another
+        self.made_ids = np.array(list(self.made.values()), np.int64)
+        self.made_sizes = np.array([len(t) for t in self.made], np.int64)
+        self.made_points = np.frombuffer("".join(self.made).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
 
     def _last_merge(self, piece: int) -> tuple[int, int] | None:
         """The two parts of a piece's last merge; None if merging its characters doesn't lead to it."""

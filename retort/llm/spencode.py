@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.lattice import FollowCache, Lattice, regular
+from retort.llm.lattice import FollowCache, Lattice, follow_cache, regular
 from retort.llm.piecemodel import SPACE, PieceModel, piece_model
 from retort.llm.spchunks import chunk_texts, space_chunks, with_leading_space
 from retort.llm.textbatch import ChunkMemo, Slice, distinct_chunks, gather, map_batches, text_slices
@@ -45,7 +45,7 @@ def encode_chunks(model: PieceModel, follows: FollowCache, chunks: list[str]) ->
 class SuffixEncoder:
     def __init__(self, path: str):
         self.model = piece_model(path)
-        self.follows = FollowCache(self.model)
+        self.follows = follow_cache(path)
         self.memo = ChunkMemo(np.int32, limit=300_000, room=3_000_000)
 
     def ids(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
