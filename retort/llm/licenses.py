@@ -132,11 +132,15 @@ class Paragraphs:
         first = self.first[owner] + np.minimum(step * STRIDE, self.count[owner] - WINDOW)
         return np.concatenate([np.arange(len(self)), owner]), np.concatenate([self.first, first]), np.concatenate([self.count, np.full(len(owner), WINDOW)])
 
-    def features(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(span, bin) of every word and of every two neighbouring words of the spans."""
+    def bins(self) -> tuple[np.ndarray, np.ndarray]:
+        """The feature of every word, and of every word with the next."""
         shift = np.uint64(64 - BINS_LOG)
-        single = (self.hashes >> shift).astype(np.int64)
-        pairs = (mix(self.hashes[:-1] * np.uint64(3) + mix(self.hashes[1:])) >> shift).astype(np.int64)
+        pairs = mix(self.hashes[:-1] * np.uint64(3) + mix(self.hashes[1:]))
+        return (self.hashes >> shift).astype(np.int64), (pairs >> shift).astype(np.int64)
+
+    def features(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(span, feature) of every word and of every two neighbouring words of the spans."""
+        single, pairs = self.bins()
         rows = np.arange(len(first))
         return np.concatenate([np.repeat(rows, count), np.repeat(rows, count - 1)]), np.concatenate([gather(single, first, count), gather(pairs, first, count - 1)])
 
@@ -150,22 +154,25 @@ class Paragraphs:
 @dataclass
 class LicenseModel:
     families: list[str]  # the last is UNKNOWN
-    weights: np.ndarray
+    weights: np.ndarray  # (families, bins)
     bias: np.ndarray
     temperature: float
     threshold: float
     whole: dict[str, set[int]]  # trigrams of all templates of a family
     each: dict[str, list[set[int]]]  # of each that may be contained in a text
 
-    def logits(self, rows: np.ndarray, bins: np.ndarray, spans: int) -> np.ndarray:
-        sums = np.zeros((spans, len(self.families)))
-        for k in range(len(self.families)):
-            sums[:, k] = np.bincount(rows, self.weights[bins, k], spans)
-        size = np.maximum(np.bincount(rows, minlength=spans), 1)
-        return sums / np.sqrt(size)[:, None] + self.bias
+    def logits(self, found: Paragraphs, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """From running sums over the words, so spans that overlap cost no more."""
+        sums = np.zeros((len(first), len(self.families)))
+        single, pairs = found.bins()
+        last = first + count
+        for k, w in enumerate(self.weights):
+            words, two = (np.concatenate([[0.0], np.cumsum(w[x])]) for x in (single, pairs))
+            sums[:, k] = words[last] - words[first] + two[last - 1] - two[first]
+        return sums / np.sqrt(2 * count - 1)[:, None] + self.bias
 
     def probabilities(self, found: Paragraphs, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return _softmax(self.logits(*found.features(first, count), len(first)) / self.temperature)
+        return _softmax(self.logits(found, first, count) / self.temperature)
 
     def confirmation(self, grams: set[int], family: str) -> tuple[float, bool]:
         """(larger of the share of a text's trigrams in the templates and that of a template's in the text, whether it suffices).
@@ -275,8 +282,8 @@ def fit(unknown: list[str]) -> LicenseModel:
         paragraphs, every = _paragraphs(own), _paragraphs(template_paragraphs(name))
         grams, all_grams = ([x.trigrams(x.first[i], x.count[i]) for i in range(len(x))] for x in (paragraphs, every))
         whole[name], each[name] = set().union(*grams, *all_grams), [g for g in grams if len(g) >= CONTAINED_TRIGRAMS]
-    model = LicenseModel(families, weights, bias, 1.0, 0.5, whole, each)
-    z, gold = model.logits(rows, bins, len(found))[held], target[held]
+    model = LicenseModel(families, np.ascontiguousarray(weights.T), bias, 1.0, 0.5, whole, each)
+    z, gold = model.logits(found, found.first, found.count)[held], target[held]
     losses = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(gold)), gold], 1e-12)).mean() for t in np.geomspace(0.25, 8, 26).tolist()}
     model.temperature = min(losses, key=losses.get)
     p = _softmax(z / model.temperature)
