@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +57,22 @@ class ByteEncoder:
 
     def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer_path = tokenizer_path
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.length[rank] = len(token)
-        self.memo = ChunkMemo(np.int32, limit=400_000, room=6_000_000)
+        self.memo = ChunkMemo(np.int32, limit=200_000, room=4_000_000)
+
+    @cached_property
+    def library(self):
+        """The tokenizer file's own library, read only once a text with the special string comes up."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer_path)
 
     def _encode_chunks(self, part: Slice, starts: np.ndarray, ends: np.ndarray, spaces: np.ndarray):
         sizes = ends - starts
