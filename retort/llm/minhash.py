@@ -241,15 +241,16 @@ def _block_links(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, width: i
     """Links (src, dst) between the components that meet in the crowded buckets."""
     sets = _sets_of(docs, nodes, crowded.select("node").distinct(), width).join(nodes.select("node", "bands"), "node")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(8 * F.col("shingles") / BLOCK_BYTES))
+    # joined before they are dealt out, so that a node in many blocks is one row of the join for each bucket
     dealt = (
         crowded.withColumn("blocks", blocks)
+        .drop("members")
+        .join(sets, "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
         .withColumn("side", ((F.col("own") == F.col("j")) & (F.col("i") < F.col("j"))).cast("int"))
-        .drop("members")
-        .join(sets, "node")
     )
     columns = ["band", "side", "node", "component", "n_shingles", *PLANES, "bands", "members"]
     found = dealt.select("bucket", "i", "j", *columns).groupBy("bucket", "i", "j").applyInArrow(_linker(percent), "src binary, dst binary")
