@@ -14,7 +14,7 @@ from retort.ml.features import hash_features, sparse_parts
 from retort.operators import fingerprints, queue, reshape, windows
 from retort.plans.base import Plans
 from retort.plans.scalars import url_reaction
-from retort.session import ensure_checkpoint_dir
+from retort.session import cut_lineage, ensure_checkpoint_dir
 from retort.sources.tables import table
 from retort.stages import context, derivation, mapping
 from retort.streaming import events as streams
@@ -85,12 +85,13 @@ def mapped_reaction_families(spark, sf):
 
 @query()
 def reaction_similarity_topk(spark, sf):
-    rows = table(spark, sf, "part", deal=True).select("p_partkey", F.concat(_pick(MOLECULES[:6], F.col("p_partkey")), F.lit(">>"), _pick(MOLECULES[:5], F.col("p_size"))).alias("r"))
-    prints = rows.select("r").distinct().withColumn("f", reaction_fingerprint("r"))
-    index = rows.join(prints, "r").where("f.reactant is not null").select("p_partkey", F.col("f.reactant").alias("reactant"), F.col("f.product").alias("product"))
-    queries = index.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("reactant").alias("qr"), F.col("product").alias("qp"))
-    score = F.round(reaction_similarity(tanimoto(F.col("qr"), F.col("reactant")), tanimoto(F.col("qp"), F.col("product"))), 6)
-    return fingerprints.search_blocked(index, queries, score, "query_id", "p_partkey", 5)
+    """Parts with a reaction each; those with the same reaction are one kind of the search."""
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(_pick(MOLECULES[:6], F.col("p_partkey")), F.lit(">>"), _pick(MOLECULES[:5], F.col("p_size"))).alias("r"))
+    prints = cut_lineage(rows.select("r").distinct()).withColumn("f", reaction_fingerprint("r"))  # else the filter goes below, with prints of all rows
+    kinds = cut_lineage(prints.where("f.reactant is not null").select("r", F.col("f.reactant").alias("reactant"), F.col("f.product").alias("product")))
+    queries = rows.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), "r")
+    score = F.round(reaction_similarity(tanimoto(F.col("q_reactant"), F.col("reactant")), tanimoto(F.col("q_product"), F.col("product"))), 6)
+    return fingerprints.search_kinds(rows, queries, kinds, "r", score, "query_id", "p_partkey", 5)
 
 
 @query()

@@ -5,11 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from retort.chem.columns import reaction_fingerprint
+from retort.functions import scores
 from retort.governance import leakage, splits
 from retort.ml import anomaly, calibration, train
-from retort.operators import aggregates, identity, packing, queue
+from retort.operators import aggregates, fingerprints, identity, packing, queue
 from retort.operators.components import connected_components
 from retort.operators.packing import pack_sizes
+from retort.plans import domain
 from retort.stages import canonical, context, derivation, mapping
 
 STEPS = "route_id string, step_id string, step_index int, canonical_reaction_smiles string, reaction_smiles string, input_intermediate string, output_intermediate string, parse_ok boolean"
@@ -105,6 +108,23 @@ def test_packing_in_blocks(spark, monkeypatch):
     assert got == pack_sizes([(str(k), n) for k, n in sizes])[0]
 
 
+def test_reaction_search_scores_kinds_not_rows(spark, monkeypatch, tmp_path):
+    """All pairs of rows give the same; before, a query met every row (200,000 pairs here)."""
+    blocked, scored = fingerprints.search_blocked, []
+    monkeypatch.setattr(fingerprints, "search_blocked", lambda index, queries, *a, **b: scored.append(index.count() * queries.count()) or blocked(index, queries, *a, **b))
+    parts = spark.range(2000).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 50 > 0, F.col("id") * 7 % 43).cast("int").alias("p_size"))
+    odd = spark.createDataFrame([(None, 3), (40, 4), (41, 4), (60, None)], "p_partkey long, p_size int")
+    parts.union(odd).write.parquet(f"{tmp_path}/part.parquet")
+    got = domain.reaction_similarity_topk(spark, str(tmp_path)).collect()
+    assert sum(scored) < 10_000
+
+    rows = spark.read.parquet(f"{tmp_path}/part.parquet").select("p_partkey", F.concat(domain._pick(domain.MOLECULES[:6], F.col("p_partkey")), F.lit(">>"), domain._pick(domain.MOLECULES[:5], F.col("p_size"))).alias("r"))
+    index = rows.join(rows.select("r").distinct().withColumn("f", reaction_fingerprint("r")), "r").where("f.reactant is not null").select("p_partkey", "f.reactant", "f.product")
+    queries = index.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("reactant").alias("qr"), F.col("product").alias("qp"))
+    score = F.round(scores.reaction_similarity(scores.tanimoto(F.col("qr"), F.col("reactant")), scores.tanimoto(F.col("qp"), F.col("product"))), 6)
+    assert sorted(got) == sorted(blocked(index, queries, score, "query_id", "p_partkey", 5).collect()) and len(got) > 300
+
+
 def test_mapping_and_derivation(spark):
     class Fails:
         name = "rxnmapper"
