@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retort.session import cut_lineage
@@ -78,3 +78,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         settled = cut_lineage(low.join(found, "node", "left").select(F.col("node").alias("head"), F.coalesce("component", "low").alias("component")))
         found = picked.join(settled, "head").select("node", "component")
     return cut_lineage(found)
+
+
+def sharing(frame: DataFrame, node: str, keys: list[str]) -> DataFrame:
+    """The rows of ``frame`` whose keys another node has as well; rows with a null in these or the node are not. One shuffle."""
+    group = Window.partitionBy(*keys)
+    full = frame.dropna(subset=[node, *keys])
+    return full.withColumns({"_least": F.min(node).over(group), "_most": F.max(node).over(group)}).where("_least < _most").drop("_least", "_most")
+
+
+def stars(frame: DataFrame, node: str, keys: list[str]) -> DataFrame:
+    """(src, dst): from the least node of the same keys to each other one; a key of one node only takes no edge."""
+    full = frame.dropna(subset=[node, *keys]).withColumn("_least", F.min(node).over(Window.partitionBy(*keys)))
+    return full.where(F.col("_least") < F.col(node)).select(F.col("_least").alias("src"), F.col(node).alias("dst"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from retort.functions import parsing
 from retort.operators import aggregates, identity, reshape, windows
-from retort.operators.components import connected_components
+from retort.operators.components import connected_components, sharing, stars
 from retort.operators.packing import pack_components
 from retort.plans.base import Plans
 from retort.sources.tables import table
@@ -210,23 +210,34 @@ def split_membership_leakage(spark, sf):
     return aggregates.overlap_counts(aggregates.membership(steps, "l_partkey", "split"))
 
 
-def leakage_edges(spark, sf):
-    """Route to patent (customer and month) and route to signature (part and ship date) edges of orders."""
-    orders = table(spark, sf, "orders", deal=True)
-    route = F.concat(F.lit("r:"), F.col("o_orderkey").cast("string"))
-    patent = F.concat(F.lit("p:"), F.col("o_custkey").cast("string"), F.lit(":"), F.date_format("o_orderdate", "yyyyMM"))
-    lines = table(spark, sf, "lineitem", deal=True)
-    signature = F.concat(F.lit("s:"), F.col("l_partkey").cast("string"), F.lit(":"), F.date_format("l_shipdate", "yyyyMMdd"))
-    return orders.select(route.alias("src"), patent.alias("dst")).unionByName(
-        lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(F.concat(F.lit("r:"), F.col("l_orderkey").cast("string")).alias("src"), signature.alias("dst"))
-    )
+def route_components(spark, sf):
+    """(node, component) of the routes: as the components of the graph of routes (r:), patents (p:, customer and month of an
+    order) and signatures (s:, part and ship date of a line), a component being named by its least node.
+
+    Most patents and signatures are one route's, so only routes that share one get edges, straight between them by number.
+    The names are put to the components at the end: a least node is a patent, or else a route.
+    """
+    day, month = (F.date_format(c, form) for c, form in (("l_shipdate", "yyyyMMdd"), ("o_orderdate", "yyyyMM")))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("route"), F.col("o_custkey").alias("customer"), month.alias("month")).where("route is not null")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("route"), F.col("l_partkey").alias("part"), day.try_cast("long").alias("day")).dropna()
+    shared = sharing(lines, "route", ["part", "day"]).join(orders.select("route"), "route", "left_semi")
+    groups = connected_components(stars(orders, "route", ["customer", "month"]).unionByName(stars(shared, "route", ["part", "day"])).distinct())
+
+    patent = F.concat(F.lit("p:"), F.col("customer").cast("string"), F.lit(":"), "month")
+    routes = orders.groupBy("route").agg(F.min(patent).alias("patent"))
+    if not orders.where("customer is null or month is null").isEmpty():
+        routes = routes.where("patent is not null").unionByName(routes.where("patent is null").join(lines.select("route"), "route", "left_semi"))
+    name = F.concat(F.lit("r:"), F.col("route").cast("string"))
+    groups = groups.withColumnRenamed("node", "route").withColumnRenamed("component", "group")
+    least = groups.join(routes, "route").groupBy("group").agg(F.min(F.coalesce("patent", name)).alias("least"))
+    found = routes.join(groups.join(least, "group"), "route", "left")
+    return found.select(name.alias("node"), F.coalesce("least", "patent", name).alias("component"))
 
 
 @query()
 def connected_components_routes(spark, sf):
     """All routes with their leakage component; sizes agree with a union-find in the tests."""
-    found = connected_components(leakage_edges(spark, sf))
-    return found.where("node like 'r:%'").select("node", "component")
+    return route_components(spark, sf)
 
 
 @query("""
@@ -241,8 +252,7 @@ def connected_components_small(spark, sf):
 
 @query()
 def greedy_component_split(spark, sf):
-    members = connected_components(leakage_edges(spark, sf)).where("node like 'r:%'")
-    return pack_components(members)
+    return pack_components(route_components(spark, sf))
 
 
 @query("""

@@ -1,5 +1,6 @@
 """Stages on small fixtures, with the results that the fixtures' descriptions give."""
 
+import datetime
 import random
 
 import pytest
@@ -12,7 +13,7 @@ from retort.ml import anomaly, calibration, train
 from retort.operators import aggregates, fingerprints, identity, packing, queue
 from retort.operators.components import connected_components
 from retort.operators.packing import pack_sizes
-from retort.plans import domain
+from retort.plans import domain, relations
 from retort.stages import canonical, context, derivation, mapping
 
 STEPS = "route_id string, step_id string, step_index int, canonical_reaction_smiles string, reaction_smiles string, input_intermediate string, output_intermediate string, parse_ok boolean"
@@ -75,6 +76,34 @@ def test_components_are_a_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_route_components_link_only_shared_keys(spark, monkeypatch, tmp_path):
+    """The whole graph's components, from edges of shared patents and signatures only; before, every row was an edge."""
+    day = lambda k: datetime.datetime(1995 + k // 12 % 5, 1 + k % 12, 1 + k % 27, k % 3)
+    rng = random.Random(5)
+    orders = [(k, rng.randrange(60) if k % 9 else None, day(rng.randrange(60)) if k % 11 else None) for k in range(300)] + [(5, 61, day(3)), (250, 61, day(3)), (None, 1, day(1)), (900, None, None), (901, None, day(1))]
+    lines = [(rng.randrange(330) if i % 40 else None, rng.randrange(25) if i % 30 else None, day(rng.randrange(60)) if i % 35 else None) for i in range(700)] + [(901, 99, day(9)), (902, 99, day(9)), (902, 98, day(9)), (7, 98, day(9))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges, search = [], relations.connected_components
+    monkeypatch.setattr(relations, "connected_components", lambda frame, *a, **b: edges.append(frame.count()) or search(frame, *a, **b))
+    got = [tuple(r) for r in relations.connected_components_routes(spark, str(tmp_path)).collect()]
+
+    lead = {}
+
+    def find(x):
+        while lead.setdefault(x, x) != x:
+            x = lead[x]
+        return x
+
+    known = {o for o, _, _ in orders}
+    pairs = [(f"r:{o}", f"p:{c}:{d:%Y%m}") for o, c, d in orders if None not in (o, c, d)] + [(f"r:{o}", f"s:{p}:{d:%Y%m%d}") for o, p, d in lines if None not in (o, p, d) and o in known]
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        lead[max(a, b)] = min(a, b)
+    assert sorted(got) == sorted((x, find(x)) for x in lead if x[0] == "r")
+    assert len(edges) == 1 and 0 < edges[0] < len(pairs) / 3
+
+
 SPLIT_ROWS = [("s1", "r1", "p-a", "A>>B"), ("s2", "r2", "p-a", "B>>C"), ("s3", "r3", "p-b", "B>>C"), ("s4", "r4", "p-c", "D>>E"), ("s5", "r5", "p-d", "E>>F")]
 
 
