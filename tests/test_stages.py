@@ -137,6 +137,19 @@ def test_packing_in_blocks(spark, monkeypatch):
     assert got == pack_sizes([(str(k), n) for k, n in sizes])[0]
 
 
+def test_packing_writes_sizes_once(spark, monkeypatch):
+    """No hash texts, no second copy in order and none of each block, which filled the disk before."""
+    kept, cut = [], packing.cut_lineage
+    monkeypatch.setattr(packing, "PACKED_COMPONENTS", 70)
+    monkeypatch.setattr(packing, "cut_lineage", lambda frame: kept.append(frame.dtypes) or cut(frame))
+    sizes = [(f"p:{k}", 1 + (k % 5 == 0) * (k % 4)) for k in range(400)]
+    members = spark.createDataFrame([(c,) for c, n in sizes for _ in range(n)], "component string")
+    got = [tuple(r) for r in packing.pack_components(members, seed=7).collect()]
+    chosen = pack_sizes(sizes, 7)[0]
+    assert sorted(got) == sorted((c, n, chosen[c]) for c, n in sizes)
+    assert [[kind for _, kind in x] for x in kept] == [["string", "bigint", "bigint"]]
+
+
 def test_reaction_search_scores_kinds_not_rows(spark, monkeypatch, tmp_path):
     """All pairs of rows give the same; before, a query met every row (200,000 pairs here)."""
     blocked, scored = fingerprints.search_blocked, []
